@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bin_slack import pack_documents
+from .byte_bpe import encode_documents
 from .chat_windows import format_conversations, read_back
 from .common import read_table
 from .line_dedup import drop_repeated_lines
+from .token_counts import count_tokens
+
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies on this machine; each executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +34,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs, report=True)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of every document, encoded whole."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern())
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from the formatted windows of all conversations and conversation -1."""
     chats = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -28,9 +50,25 @@ def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(chats.unionByName(probe)))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again, as digests."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode_documents(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), token_pattern(), keep_ids=False)
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_token_counts": op3_token_counts,
     "op5_chat_windows": op5_chat_windows,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {}
