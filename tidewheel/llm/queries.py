@@ -12,6 +12,7 @@ from .byte_bpe import encode_documents
 from .chat_windows import format_conversations, read_back
 from .common import read_table
 from .line_dedup import drop_repeated_lines
+from .perplexity import judge
 from .token_counts import count_tokens
 
 
@@ -40,6 +41,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, vocabulary("byte_bpe_50k.tiktoken"), token_pattern())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, perplexity and verdict of every document, under a model of all of them."""
+    return judge(read_table(spark, sf_dir, "documents"))
+
+
 def op5_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests read back from the formatted windows of all conversations and conversation -1."""
     chats = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,6 +72,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_rules": op4_quality_rules,
     "op5_chat_windows": op5_chat_windows,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
