@@ -30,16 +30,17 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memo, stretches
 from .common import settle
 
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
+#: Words a worker keeps the ids of before it starts anew: its memory bound.
+MEMO_SIZE = 600_000
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space, by memo over stretches of text."""
+    """Ids of a tokenizer that drops white space, by memo over words."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,30 +48,34 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = Memo(None, 400_000)
-
-    def learn(self, wanted: set[str]) -> None:
-        """Put all of wanted into the memo, at one call of the tokenizer."""
-        memo, new = self.memo, [w for w in wanted if w not in self.memo]
-        if len(memo) + len(new) > memo.size:
-            memo.clear()
-            new = list(wanted)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.memo: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.memo) + len(new) > MEMO_SIZE:
+            self.memo.clear()
+        plain = [w for w in new if w.isalpha()]  # one piece each, whose last id alone ends a word
+        packed = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[packed]) + 1
+        if len(ends) == len(plain):
+            data, at = packed.tobytes(), 0
+            for word, end in zip(plain, (ends * 4).tolist(), strict=True):
+                self.memo[word] = data[at:end]
+                at = end
+            new = [w for w in new if not w.isalpha()]
         for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            dict.__setitem__(memo, word, np.array(got.ids, "<u4").tobytes())
-
-    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [stretches(t) for t in texts]
-        at = 0
-        while at < len(parts):  # as many texts at once as the memo surely holds
-            wanted: set[str] = set()
-            stop = at
-            while stop < len(parts) and (stop == at or len(wanted) + len(parts[stop]) < self.memo.size // 2):
-                wanted.update(parts[stop])
-                stop += 1
-            self.learn(wanted)
-            for p in parts[at:stop]:
-                yield b"".join(map(self.memo.__getitem__, p))
-            at = stop
+            self.memo[word] = np.array(got.ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers. The tokenizer drops white space, so words are encoded one by one."""
+        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        packed = list(map(self.memo.get, words))
+        if None in packed:
+            self._learn(list({w for w, p in zip(words, packed, strict=True) if p is None}))
+            packed = [p if p is not None else self.memo[w] for w, p in zip(words, packed, strict=True)]
+        return b"".join(packed)
 
 
 @functools.lru_cache(2)
@@ -86,7 +91,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         own, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, packed in enumerate(own.encode_batch([t or "" for t in batch.column(1).to_pylist()])):
+            for row, packed in enumerate(map(own.encode, (t.as_py() or "" for t in batch.column(1)))):
                 packed += end
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
