@@ -11,6 +11,7 @@ from .bin_slack import pack_documents
 from .byte_bpe import encode_documents
 from .chat_windows import format_conversations, read_back
 from .common import read_table
+from .importance import resample
 from .line_dedup import drop_repeated_lines
 from .perplexity import judge
 from .token_counts import count_tokens
@@ -35,6 +36,12 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeated_lines(docs, report=True)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight and verdict of every document; the target is labelled good and not toxic."""
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    return resample(read_table(spark, sf_dir, "documents"), labels.where("good is not null"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of every document, encoded whole."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +78,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_windows": op5_chat_windows,
