@@ -53,3 +53,18 @@ def split_heavy(left: DataFrame, right: DataFrame, key: str, n_left: int, count_
 def word_count(text: Column) -> Column:
     """Words of a text, by the contracts' definition of a word; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined (inner or left) to right, which has one row a key, however many rows of left share a key.
+
+    Keys that HEAVY_SHARE rows in left or more share out of all are counted
+    first; there are at most HEAVY_SHARE of them, and their rows of right are
+    broadcast. left is read twice, so it should be settled.
+    """
+    counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    bar = max(2, left.count() // HEAVY_SHARE)
+    hot = F.broadcast(settle(counts.where((F.col("_n") > bar) & F.col(key).isNotNull()).select(key)))
+    heavy = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
+    rest = left.join(hot, key, "left_anti").join(right, key, how)
+    return heavy.unionByName(rest)

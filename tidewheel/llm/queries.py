@@ -13,6 +13,7 @@ from .chat_windows import format_conversations, read_back
 from .common import read_table
 from .importance import resample
 from .line_dedup import drop_repeated_lines
+from .ngram_join import similar_groups
 from .perplexity import judge
 from .token_counts import count_tokens
 
@@ -76,6 +77,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document: five-word n-grams, Jaccard 0.8 or more."""
+    return similar_groups(read_table(spark, sf_dir, "documents")).drop("th")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat_windows": op5_chat_windows,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_ngram_join": op9_ngram_join,
 }
 
 ORACLES: dict[str, str] = {}
