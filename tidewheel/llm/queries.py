@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .bin_slack import pack_documents
 from .byte_bpe import encode_documents
 from .chat_windows import format_conversations, read_back
@@ -70,6 +71,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest other vectors, by cosine, of every vector whose id is divisible by 50."""
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality_rules": op4_quality_rules,
     "op5_chat_windows": op5_chat_windows,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_join": op9_ngram_join,
 }
