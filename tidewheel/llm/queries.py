@@ -16,6 +16,7 @@ from .importance import resample
 from .line_dedup import drop_repeated_lines
 from .ngram_join import similar_groups
 from .perplexity import judge
+from .surrogates import replace_pii
 from .token_counts import count_tokens
 
 
@@ -88,6 +89,16 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read_table(spark, sf_dir, "documents")).drop("th")
 
 
+#: Of the query alone: a deployment brings its own secret.
+SURROGATE_KEY = "tidewheel-query"
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data and secrets replaced by surrogates."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, SURROGATE_KEY, report=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_join": op9_ngram_join,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 ORACLES: dict[str, str] = {}
