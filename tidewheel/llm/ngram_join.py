@@ -213,7 +213,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thres
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """id_col, class_id, n_links, n_text_links, is_first, th: one row for each row of docs.
+    """id_col, class_id, n_links, n_text_links, is_first, th (text hash), worded: one row for each row of docs.
 
     n_links counts documents, n_text_links different texts (copies apart);
     is_first marks the row (or equal rows) that a class is named after.
@@ -243,12 +243,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
         (lone | (F.col("class.id").eqNullSafe(F.col("id")) & F.col("class.th").eqNullSafe(F.col("th")))).alias("is_first"),
         "th",
+        F.col("node").isNotNull().alias("worded"),
     )
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """One row of docs for each class of similar texts: the one with the smallest id; rows without words all stay."""
-    first = similar_groups(docs, id_col, text_col, n, threshold).where("is_first").select(F.col(id_col).alias("_id"), F.col("th").alias("_th")).distinct()
+    """One row of docs for each class of similar texts: the one with the smallest id. Of texts without words, equal ones are a class here."""
+    rows = similar_groups(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), "is_first", "worded")
+    blank = rows.where(~F.col("worded")).groupBy("_th").agg(F.min(F.struct(F.col("_id").isNotNull().alias("known"), "_id"))["_id"].alias("_id"))
+    first = rows.where("is_first and worded").select("_id", "_th").distinct().unionByName(blank)
     keyed = docs.withColumn("_h", F.xxhash64(text_col))
     kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
     return kept.dropDuplicates([id_col, "_h"]).select(*docs.columns)

@@ -86,7 +86,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word n-grams, Jaccard 0.8 or more."""
-    return similar_groups(read_table(spark, sf_dir, "documents")).drop("th")
+    return similar_groups(read_table(spark, sf_dir, "documents")).drop("th", "worded")
 
 
 #: Of the query alone: a deployment brings its own secret.
