@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: so at most HEAVY_SHARE keys can be heavy, whatever the size of the table.
 HEAVY_SHARE = 1000
 
+#: Rows of a settled table that a task reads at least.
+ROWS_A_TASK = 20_000
+
 #: White space between words, fixed by the contracts: space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,9 +29,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared checkpoint folder; a lost executor costs no recomputation before it."""
+    """Cut the lineage in the shared checkpoint folder; a lost executor costs no recomputation before it.
+
+    A table of few rows is read back by few tasks, so that what is done with it
+    next does not write a shuffle file for each of many empty partitions.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    return kept.coalesce(kept.count() // ROWS_A_TASK + 1)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
