@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import bars, forecasts, joins, panels, stores
+from .base import ORACLES as ORACLES
+from .base import QUERIES as QUERIES
+
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (panels, bars, joins, forecasts, stores)
