@@ -15,8 +15,6 @@ from ..operators import windows as V
 from ..sources import series as src
 from .base import MACRO, SALES, SEGMENTS, TOTAL, W, frame, query, r
 
-_w = V.over_time()
-_y = F.col("y")
 
 
 def _panel(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +27,7 @@ def _panel(spark: SparkSession, d: str) -> DataFrame:
     {r('avg(y) ' + frame(12), 'ma_12')}, {r('y / nullif(lag(y, 12) OVER w, 0) - 1', 'yoy')} FROM p {W}""",
 )
 def panel_monthly(spark, d):
-    out = _panel(spark, d).withColumns({"lag_1": V.lag(_y, 1, _w), "lag_12": V.lag(_y, 12, _w), "ma_3": V.rolling(F.avg, _y, 3, _w, 1), "ma_12": V.rolling(F.avg, _y, 12, _w, 1), "yoy": V.pct_change(_y, 12, _w)})
+    out = _panel(spark, d).withColumns({"lag_1": V.lag(F.col("y"), 1, V.over_time()), "lag_12": V.lag(F.col("y"), 12, V.over_time()), "ma_3": V.rolling(F.avg, F.col("y"), 3, V.over_time(), 1), "ma_12": V.rolling(F.avg, F.col("y"), 12, V.over_time(), 1), "yoy": V.pct_change(F.col("y"), 12, V.over_time())})
     return out
 
 
@@ -47,17 +45,17 @@ def lag_features(spark, d):
     f"WITH {SALES} SELECT unique_id, ds, {', '.join(r(f'y - lag(y, {n}) OVER w', f'diff_{n}') for n in (1, 12))}, {', '.join(r(f'y / nullif(lag(y, {n}) OVER w, 0) - 1', f'pct_{n}') for n in (1, 3, 6, 12))} FROM p {W}",
 )
 def diff_pct_change(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.diff(_y, n, _w).alias(f"diff_{n}") for n in (1, 12)], *[V.pct_change(_y, n, _w).alias(f"pct_{n}") for n in (1, 3, 6, 12)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.diff(F.col("y"), n, V.over_time()).alias(f"diff_{n}") for n in (1, 12)], *[V.pct_change(F.col("y"), n, V.over_time()).alias(f"pct_{n}") for n in (1, 3, 6, 12)])
 
 
 @query("log_changes", f"WITH {SALES} SELECT unique_id, ds, {', '.join(r(f'ln(y) - lag(ln(y), {n}) OVER w', f'log_{n}') for n in (1, 12))} FROM p {W}")
 def log_changes(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.log_change(_y, n, _w).alias(f"log_{n}") for n in (1, 12)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.log_change(F.col("y"), n, V.over_time()).alias(f"log_{n}") for n in (1, 12)])
 
 
 @query("rolling_mean_mp1", f"WITH {SALES} SELECT unique_id, ds, {', '.join(r('avg(y) ' + frame(n), f'ma_{n}') for n in (3, 6, 12))} FROM p")
 def rolling_mean_mp1(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, _y, n, _w, 1).alias(f"ma_{n}") for n in (3, 6, 12)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, F.col("y"), n, V.over_time(), 1).alias(f"ma_{n}") for n in (3, 6, 12)])
 
 
 def _full(n: int, agg: str) -> str:
@@ -66,7 +64,7 @@ def _full(n: int, agg: str) -> str:
 
 @query("rolling_mean_full", f"WITH {SALES} SELECT unique_id, ds, {', '.join(r(_full(n, 'avg'), f'ma_{n}') for n in (3, 4, 6, 8, 12))} FROM p")
 def rolling_mean_full(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, _y, n, _w).alias(f"ma_{n}") for n in (3, 4, 6, 8, 12)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, F.col("y"), n, V.over_time()).alias(f"ma_{n}") for n in (3, 4, 6, 8, 12)])
 
 
 @query(
@@ -74,7 +72,7 @@ def rolling_mean_full(spark, d):
     f"WITH {SALES} SELECT unique_id, ds, " + ", ".join(r(f"CASE WHEN count(y) {frame(n)} >= {n // 2} THEN avg(y) {frame(n)} END", f"ma_{n}") for n in (12, 24)) + " FROM p",
 )
 def rolling_mean_half(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, _y, n, _w, n // 2).alias(f"ma_{n}") for n in (12, 24)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(F.avg, F.col("y"), n, V.over_time(), n // 2).alias(f"ma_{n}") for n in (12, 24)])
 
 
 @query(
@@ -83,13 +81,13 @@ def rolling_mean_half(spark, d):
     SELECT unique_id, ds, {', '.join(r('stddev_samp(y) ' + frame(n), f'std_{n}') for n in (3, 6, 12))}, {', '.join(r('stddev_samp(pc) ' + frame(n), f'vol_{n}') for n in (3, 12))} FROM c""",
 )
 def rolling_std_volatility(spark, d):
-    out = _panel(spark, d).withColumn("pc", V.pct_change(_y, 1, _w))
-    return out.select("unique_id", "ds", *[V.rolling(F.stddev_samp, _y, n, _w, 1).alias(f"std_{n}") for n in (3, 6, 12)], *[V.rolling(F.stddev_samp, F.col("pc"), n, _w, 1).alias(f"vol_{n}") for n in (3, 12)])
+    out = _panel(spark, d).withColumn("pc", V.pct_change(F.col("y"), 1, V.over_time()))
+    return out.select("unique_id", "ds", *[V.rolling(F.stddev_samp, F.col("y"), n, V.over_time(), 1).alias(f"std_{n}") for n in (3, 6, 12)], *[V.rolling(F.stddev_samp, F.col("pc"), n, V.over_time(), 1).alias(f"vol_{n}") for n in (3, 12)])
 
 
 @query("rolling_min_max", f"WITH {SALES} SELECT unique_id, ds, {', '.join(r(f'{a}(y) ' + frame(n), f'{a}_{n}') for n in (3, 6, 12) for a in ('min', 'max'))} FROM p")
 def rolling_min_max(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(f, _y, n, _w, 1).alias(f"{a}_{n}") for n in (3, 6, 12) for a, f in (("min", F.min), ("max", F.max))])
+    return _panel(spark, d).select("unique_id", "ds", *[V.rolling(f, F.col("y"), n, V.over_time(), 1).alias(f"{a}_{n}") for n in (3, 6, 12) for a, f in (("min", F.min), ("max", F.max))])
 
 
 @query(
@@ -97,7 +95,7 @@ def rolling_min_max(spark, d):
     f"WITH {SALES} SELECT unique_id, ds, " + ", ".join(r(f"CASE WHEN count(y) {frame(n)} >= {n // 2} THEN (y - avg(y) {frame(n)}) / nullif(stddev_samp(y) {frame(n)}, 0) END", f"z_{n}") for n in (12, 24)) + " FROM p",
 )
 def rolling_zscore(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.zscore(_y, n, _w).alias(f"z_{n}") for n in (12, 24)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.zscore(F.col("y"), n, V.over_time()).alias(f"z_{n}") for n in (12, 24)])
 
 
 def _rank(n: int) -> str:
@@ -110,7 +108,7 @@ def _rank(n: int) -> str:
     f"WITH {SALES}, l AS (SELECT *, {', '.join(_rank(n)[1] for n in (12, 24, 60))} FROM p) SELECT unique_id, ds, {', '.join(r(_rank(n)[0], f'rank_{n}') for n in (12, 24, 60))} FROM l",
 )
 def rolling_pct_rank(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", *[V.rolling_rank(_y, n, _w).alias(f"rank_{n}") for n in (12, 24, 60)])
+    return _panel(spark, d).select("unique_id", "ds", *[V.rolling_rank(F.col("y"), n, V.over_time()).alias(f"rank_{n}") for n in (12, 24, 60)])
 
 
 @query(
@@ -220,7 +218,7 @@ def ffill_gaps(spark, d):
     g = rows.groupBy((F.col("o_custkey") % 7).alias("k"), S.month_end(F.col("o_orderdate")).alias("ds")).agg(F.round(F.sum("o_totalprice"), 4).alias("y"))
     w = V.over_time("k")
     full = src.complete_months(g, ["k"])
-    return full.select("k", "ds", V.forward_fill(_y, w).alias("forward"), V.backward_fill(_y, w).alias("backward"), F.coalesce("y", F.median("y").over(Window.partitionBy("k"))).alias("imputed"))
+    return full.select("k", "ds", V.forward_fill(F.col("y"), w).alias("forward"), V.backward_fill(F.col("y"), w).alias("backward"), F.coalesce("y", F.median("y").over(Window.partitionBy("k"))).alias("imputed"))
 
 
 @query("month_profile", f"WITH {SALES} SELECT unique_id, month(ds)::INT AS month, {r('avg(y)', 'mean')} FROM p GROUP BY 1, 2")
@@ -302,7 +300,7 @@ def gap_detect(spark, d):
     SELECT unique_id, ds, {r('coalesce(y, ya + (yb - ya) * (ds - ta)::DOUBLE / nullif((tb - ta)::DOUBLE, 0))', 'y', 4)} FROM h""",
 )
 def linear_interpolation(spark, d):
-    return src.complete_months(_sparse(spark, d), ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(_y, _w, F.col("ds")), 4).alias("y"))
+    return src.complete_months(_sparse(spark, d), ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(F.col("y"), V.over_time(), F.col("ds")), 4).alias("y"))
 
 
 @query("duplicate_days", "SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -356,15 +354,15 @@ def target_encoding(spark, d):
 def category_share(spark, d):
     month = Window.partitionBy("ds")
     return _panel(spark, d).select(
-        "unique_id", "ds", S.safe_div(_y, F.sum("y").over(month)).alias("share"), S.safe_div(_y, F.avg("y").over(month)).alias("vs_market"), S.safe_div(_y, V.rolling(F.avg, _y, 12, _w, 1)).alias("seasonal_strength")
+        "unique_id", "ds", S.safe_div(F.col("y"), F.sum("y").over(month)).alias("share"), S.safe_div(F.col("y"), F.avg("y").over(month)).alias("vs_market"), S.safe_div(F.col("y"), V.rolling(F.avg, F.col("y"), 12, V.over_time(), 1)).alias("seasonal_strength")
     )
 
 
 @query("gaussian_smooth", f"WITH {SALES} SELECT unique_id, ds, " + r("(" + " + ".join(f"coalesce({math.exp(-k * k / 4.5)!r} * " + (f"lead(y, {k}) OVER w" if k > 0 else f"lag(y, {-k}) OVER w") + ", 0)" for k in range(-6, 7)) + ") / (" + " + ".join(f"CASE WHEN {(f'lead(y, {k}) OVER w' if k > 0 else f'lag(y, {-k}) OVER w')} IS NULL THEN 0 ELSE {math.exp(-k * k / 4.5)!r} END" for k in range(-6, 7)) + ")", "smooth", 4) + f" FROM p {W}")
 def gaussian_smooth(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", F.round(V.smooth(_y, _w), 4).alias("smooth"))
+    return _panel(spark, d).select("unique_id", "ds", F.round(V.smooth(F.col("y"), V.over_time()), 4).alias("smooth"))
 
 
 @query("poly_features", f"WITH {SALES} SELECT unique_id, ds, {r('y * y / 1e6', 'squared', 3)}, {r('sqrt(y)', 'root')}, {r('ln(y)', 'log')}, {r('y / nullif(lag(y) OVER w, 0)', 'ratio')} FROM p {W}")
 def poly_features(spark, d):
-    return _panel(spark, d).select("unique_id", "ds", F.round(_y * _y / 1e6, 3).alias("squared"), F.sqrt("y").alias("root"), F.ln("y").alias("log"), S.safe_div(_y, V.lag(_y, 1, _w)).alias("ratio"))
+    return _panel(spark, d).select("unique_id", "ds", F.round(F.col("y") * F.col("y") / 1e6, 3).alias("squared"), F.sqrt("y").alias("root"), F.ln("y").alias("log"), S.safe_div(F.col("y"), V.lag(F.col("y"), 1, V.over_time())).alias("ratio"))
