@@ -150,7 +150,8 @@ def resample(
     # a variate in (0, 1), the same wherever and however often it is computed
     uniform = (F.shiftrightunsigned(F.xxhash64("id", "th", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
     score = F.col("log_weight") - F.log(-F.log(uniform))
-    rank = F.floor(F.greatest(F.least(score, F.lit(1e9)), F.lit(-1e9)) * 1e9).cast("long")
+    # greatest and least pass over nulls
+    rank = F.when(score.isNotNull(), F.floor(F.greatest(F.least(score, F.lit(1e9)), F.lit(-1e9)) * 1e9).cast("long"))
     weighed = settle(weighed.withColumn("score", score).withColumn("rank", rank))
     able = weighed.where("log_weight is not null")
     if share is None:

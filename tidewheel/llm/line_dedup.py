@@ -1,18 +1,19 @@
 """Line dedup by winnowing over line hashes. DataFrame functions only.
 
 A document is the sequence of its lines that hold a word. A window is the
-shortest stretch of such lines, from some line on, with min_words words or
-more; the line of smallest hash in each window (the last of equals) is a
-fingerprint. Two texts that share a run of whole lines of at least min_words
-words share all windows inside it, and so at least one fingerprint, at the
-same place of the run.
-
-Every fingerprint is joined to its first place in the corpus, in the order
-(doc_id, text hash, line), and the match is extended line by line both ways
-from there, over one window at most: beyond it the run holds a further
-fingerprint of its own. Runs of min_words words or more are deleted wherever
-they are not first. A deleted line always equals an earlier one, so the first
-copy of each line stays.
+shortest stretch of such lines with min_words words or more, from some line on
+or up to some line. The smallest line hash of a window is its fingerprint, so
+two texts that share a run of whole lines of at least min_words words share a
+fingerprint for certain; a window whose fingerprint stands at one place of the
+corpus alone is dropped at once, and most are.
+
+At fingerprints that stand at two places or more, positions are joined by the
+content of the whole window around them, and a match reaches both ways over
+it: windows that begin at a line carry it forward, windows that end at a line
+backward. A run that repeats an earlier one is just the union of its windows,
+so every later run of min_words words or more goes, whichever text it repeats,
+in the order (doc_id, text hash, line). A deleted line always equals an
+earlier one, so the first copy of each line stays.
 
 Edge cases. Null text: the row is kept as it is, with no lines. Empty text:
 one empty line, kept. Blank lines never match by themselves; those inside a
@@ -31,77 +32,49 @@ from .common import settle, split_heavy, word_count
 
 MIN_WORDS = 50
 
-_CONTEXT = "array<struct<lh:string,words:bigint,pos:int>>"
-
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line that holds a word: d, th, pos, lh (half an md5 of the trimmed line), words."""
+    """One row for each line that holds a word: d, th, pos, lh (hash of the trimmed line), words."""
     keyed = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null")
     lines = keyed.select("d", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("d", "th", "pos", F.substring(F.md5(F.trim("line")), 1, 16).alias("lh"), word_count(F.col("line")).alias("words"))
-    return lines.where("words > 0")
+    return lines.select("d", "th", "pos", F.xxhash64(F.trim("line")).alias("lh"), word_count(F.col("line")).alias("words")).where("words > 0")
 
 
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The winnowed lines, each with the lines of one window before and after it."""
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """Every window: d, th, first_line, last_line, print (its smallest line hash), spot (where that stands), key (hash of its content)."""
     doc = Window.partitionBy("d", "th").orderBy("pos")
-    every = doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    before, after = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
     placed = (
         lines.repartition("d", "th")
         .dropDuplicates(["d", "th", "pos"])
         .withColumn("cs", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .withColumn("total", F.sum("words").over(every))
-    )
-    # cs, the words before a line, grows strictly: a window is a range of it
-    by_words = Window.partitionBy("d", "th").orderBy("cs")
-    ahead = by_words.rangeBetween(0, min_words - 1)
-    behind = by_words.rangeBetween(-(min_words - 1), 0)
-    line = F.struct("lh", "words", "pos")
-    chosen = placed.withColumn(
-        "pick", F.when(F.col("total") - F.col("cs") >= min_words, F.min(F.struct("lh", (-F.col("cs")).alias("at"))).over(ahead)["at"])
+        .withColumn("rest", F.coalesce(F.sum("words").over(after), F.lit(0)))
+        .withColumn("ce", F.col("cs") + F.col("words"))
     )
-    return (
-        chosen.withColumn("picks", F.collect_set("pick").over(behind))
-        .withColumn("before", F.collect_list(line).over(by_words.rangeBetween(-(min_words - 1), -1)))
-        .withColumn("after", F.collect_list(line).over(by_words.rangeBetween(1, min_words - 1)))
-        .where(F.array_contains("picks", -F.col("cs")))
-        .select("d", "th", "pos", "lh", "words", F.reverse("before").cast(_CONTEXT).alias("before"), F.col("after").cast(_CONTEXT).alias("after"))
+    # words before a line, and up to it, grow strictly: a window is a range of either
+    line = F.struct("pos", "lh")
+    ahead = Window.partitionBy("d", "th").orderBy("cs").rangeBetween(0, min_words - 1)
+    behind = Window.partitionBy("d", "th").orderBy("ce").rangeBetween(-(min_words - 1), 0)
+    both = placed.withColumn("f", F.when(F.col("rest") + F.col("words") >= min_words, F.collect_list(line).over(ahead)))
+    both = both.withColumn("b", F.when(F.col("ce") >= min_words, F.collect_list(line).over(behind)))
+    held = both.select("d", "th", F.explode(F.array("f", "b")).alias("w")).where("w is not null")
+    least = F.array_min(F.transform("w", lambda x: F.struct(x["lh"].alias("lh"), x["pos"].alias("pos"))))
+    content = F.xxhash64(F.transform("w", lambda x: x["lh"]))
+    return held.select(
+        "d", "th", F.element_at("w", 1)["pos"].alias("first_line"), F.element_at("w", -1)["pos"].alias("last_line"), least["lh"].alias("print"), least["pos"].alias("spot"), content.alias("key")
     )
 
 
-def _shared(mine: str, theirs: str) -> F.Column:
-    """The leading lines of mine that equal those of theirs."""
-    same = F.zip_with(mine, theirs, lambda a, b: a["lh"].isNotNull() & a["lh"].eqNullSafe(b["lh"]))
-    stop = F.array_position(same, F.lit(False))
-    return F.slice(mine, F.lit(1), F.when(stop > 0, (stop - 1).cast("int")).otherwise(F.size(mine)))
-
-
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Later repeated runs, disjoint: d, th, first_line, last_line."""
-    lines = settle(line_table(docs, id_col, text_col))
-    prints = fingerprints(lines, min_words)
-    places = settle(prints)
-    n = places.count()
-    order = F.struct(F.col("d").isNotNull().alias("known"), "d", "th", "pos")
-    spots = places.groupBy("lh").agg(
-        F.count(F.lit(1)).alias("n"), F.min(order).alias("first"), F.min_by(F.struct("before", "after"), order).alias("source")
-    )
-    spots = settle(spots.where("n > 1"))
-    pairs = []
-    for part in split_heavy(places, spots, "lh", n, "n"):
-        later = part.where(order > F.col("first"))
-        later = later.withColumn("up", _shared("before", "source.before")).withColumn("down", _shared("after", "source.after"))
-        held = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x["words"])
-        long_enough = later.where(F.col("words") + held("up") + held("down") >= min_words)
-        pairs.append(
-            long_enough.select(
-                "d",
-                "th",
-                F.coalesce(F.try_element_at("up", F.lit(-1))["pos"], F.col("pos")).alias("first_line"),
-                F.coalesce(F.try_element_at("down", F.lit(-1))["pos"], F.col("pos")).alias("last_line"),
-            )
-        )
+    found = settle(windows(line_table(docs, id_col, text_col), min_words))
+    at = lambda pos: F.struct(F.col("d").isNotNull().alias("known"), "d", "th", pos)
+    prints = found.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(at("spot")).alias("a"), F.max(at("spot")).alias("z")).where("a <> z").select("print", "n")
+    heavy, rest = split_heavy(found, settle(prints), "print", found.count(), "n")
+    held = settle(heavy.drop("n").unionByName(rest.drop("n")).select("d", "th", "first_line", "last_line", "key"))
+    # windows of equal content are as long, whichever way they were made, so they begin and end at matching lines
+    spots = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at("first_line")).alias("first")).where("n > 1")
+    pairs = [p.where(at("first_line") > F.col("first")).select("d", "th", "first_line", "last_line") for p in split_heavy(held, settle(spots), "key", held.count(), "n")]
     doc = Window.partitionBy("d", "th").orderBy("first_line", "last_line")
     reach = F.max("last_line").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = pairs[0].union(pairs[1]).distinct().repartition("d", "th").withColumn("new", (F.coalesce(reach, F.lit(-2)) + 1 < F.col("first_line")).cast("int"))
