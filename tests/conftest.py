@@ -2,8 +2,6 @@ import pytest
 
 from tidewheel.session import session
 
-SF = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
