@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .chunks import Memo, stretches
 
 #: States a transducer may keep: its memory bound.
-MAX_STATES = 80_000
+MAX_STATES = 150_000
 
 
 def read_ranks(source: IO[bytes]) -> dict[bytes, int]:
@@ -191,7 +191,7 @@ class Codec:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.decimal = list(map(str, range(top)))
-        self.later = Memo(lambda stretch: self._ids(" " + stretch), 400_000)
+        self.later = Memo(lambda stretch: self._ids(" " + stretch), 900_000)
 
     def _ids(self, stretch: str) -> bytes:
         piece = self.transducer.piece

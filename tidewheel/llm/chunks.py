@@ -20,6 +20,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 def stretches(text: str) -> list[str]:
     """text cut before each single space that stands between two other signs; the space itself is left out of all but the first."""
+    if text and len(" ".join(text.split())) == len(text):  # all white space is single and inside, so each space is a cut
+        return text.split(" ")
     return _CUT.split(text)
 
 
