@@ -36,7 +36,16 @@ def settle(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     kept = df.checkpoint(eager=True)
-    return kept.coalesce(kept.count() // ROWS_A_TASK + 1)
+    n = kept.count()
+    out = kept.coalesce(n // ROWS_A_TASK + 1)
+    out.settled_rows = n
+    return out
+
+
+def row_count(df: DataFrame) -> int:
+    """Rows of a table, known already if it was settled."""
+    n = getattr(df, "settled_rows", None)
+    return df.count() if n is None else n
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,7 +80,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     broadcast. left is read twice, so it should be settled.
     """
     counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    bar = max(2, left.count() // HEAVY_SHARE)
+    bar = max(2, row_count(left) // HEAVY_SHARE)
     hot = F.broadcast(settle(counts.where((F.col("_n") > bar) & F.col(key).isNotNull()).select(key)))
     heavy = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
     rest = left.join(hot, key, "left_anti").join(right, key, how)

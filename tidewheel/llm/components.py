@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, settle
+from .common import join_unique, row_count, settle, split_heavy
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,14 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     now = settle(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     levels = []
-    while now.count():
+    while row_count(now):
         rank = F.xxhash64("v", F.lit(len(levels))) if levels else F.col("v")
-        both = now.selectExpr("a u", "b v").union(now.selectExpr("b u", "a v")).union(now.selectExpr("a u", "a v")).union(now.selectExpr("b u", "b v"))
-        step = settle(both.groupBy("u").agg(F.min(F.struct(rank.alias("r"), "v"))["v"].alias("m")))
+        # each edge both ways, and its ends as neighbours of themselves
+        both = now.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u in "ab" for v in "ab"])).alias("e")).select("e.*")
+        step = settle(both.groupBy("u").agg(F.min(F.struct(rank.alias("r"), "v"))["v"].alias("m"), F.count(F.lit(1)).alias("n")))
         levels.append(step)
-        ends = settle(join_unique(now, step.selectExpr("u a", "m x"), "a").select("b", "x"))
-        moved = join_unique(ends, step.selectExpr("u b", "m y"), "b").where("x <> y")
-        now = settle(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        ends = _moved(now, step, "a", row_count(now))
+        now = settle(_moved(ends, step, "b", row_count(now)).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     if not levels:
         return spark.createDataFrame([], "node bigint, root bigint")
     found = levels[-1].selectExpr("u node", "m root")
@@ -34,3 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         up = join_unique(step.selectExpr("u node", "m"), found.selectExpr("node m", "root"), "m", "left")
         found = settle(up.select("node", F.coalesce("root", "m").alias("root")))
     return found
+
+
+def _moved(edges: DataFrame, step: DataFrame, end: str, n: int) -> DataFrame:
+    """edges with one end moved to where step maps it; n in step is no less than the edges at a node."""
+    heavy, rest = split_heavy(edges, step.select(F.col("u").alias(end), "m", "n"), end, n, "n")
+    return heavy.unionByName(rest).drop(end, "n").withColumnRenamed("m", end)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, split_heavy, word_count
+from .common import row_count, settle, split_heavy, word_count
 
 MIN_WORDS = 50
 
@@ -70,11 +70,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = settle(windows(line_table(docs, id_col, text_col), min_words))
     at = lambda pos: F.struct(F.col("d").isNotNull().alias("known"), "d", "th", pos)
     prints = found.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(at("spot")).alias("a"), F.max(at("spot")).alias("z")).where("a <> z").select("print", "n")
-    heavy, rest = split_heavy(found, settle(prints), "print", found.count(), "n")
+    heavy, rest = split_heavy(found, settle(prints), "print", row_count(found), "n")
     held = settle(heavy.drop("n").unionByName(rest.drop("n")).select("d", "th", "first_line", "last_line", "key"))
     # windows of equal content are as long, whichever way they were made, so they begin and end at matching lines
     spots = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at("first_line")).alias("first")).where("n > 1")
-    pairs = [p.where(at("first_line") > F.col("first")).select("d", "th", "first_line", "last_line") for p in split_heavy(held, settle(spots), "key", held.count(), "n")]
+    pairs = [p.where(at("first_line") > F.col("first")).select("d", "th", "first_line", "last_line") for p in split_heavy(held, settle(spots), "key", row_count(held), "n")]
     doc = Window.partitionBy("d", "th").orderBy("first_line", "last_line")
     reach = F.max("last_line").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = pairs[0].union(pairs[1]).distinct().repartition("d", "th").withColumn("new", (F.coalesce(reach, F.lit(-2)) + 1 < F.col("first_line")).cast("int"))

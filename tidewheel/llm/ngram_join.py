@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, settle
+from .common import row_count, settle, split_heavy
 from .components import components
 from .words import Texts, in_groups, mix, shingles
 
@@ -117,9 +117,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def candidates(nodes: DataFrame) -> DataFrame:
     """node, root: nodes that share a band with another, and their group."""
     rows = settle(nodes.select("node", F.explode("bands").alias("h")))
-    buckets = rows.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "hub")
-    edges = join_unique(rows, settle(buckets), "h").selectExpr("node a", "hub b")
-    return components(edges)
+    buckets = rows.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    heavy, rest = split_heavy(rows, settle(buckets), "h", row_count(rows), "n")
+    return components(heavy.unionByName(rest).selectExpr("node a", "hub b"))
 
 
 def _verify(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,11 +156,12 @@ def _verify(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, thresh
 
 def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, other, texts, docs: links of each node found in one task, and a node it is connected to there."""
-    sums = join_unique(groups, nodes.select("node", "n_grams"), "node").groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
+    members = settle(groups.join(nodes.select("node", "n_copies", "n_grams", "rep"), "node"))
+    sums = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
     parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    placed = join_unique(groups, settle(sums.select("root", parts.alias("parts"))), "root")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rep = nodes.select("node", "n_copies", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")).join(placed, "node")
+    heavy, rest = split_heavy(members, settle(sums.select("root", "k", parts.alias("parts"))), "root", row_count(members), "k")
+    placed = heavy.unionByName(rest).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rep = placed.select("node", "n_copies", "root", "parts", "block", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
     # the one shuffle of texts: each node's first document finds its text
     own = docs.select("id", "text", F.xxhash64("text").alias("th"))
     texts = own.join(rep, F.col("id").eqNullSafe(F.col("rep_id")) & F.col("th").eqNullSafe(F.col("rep_th")))
@@ -231,10 +232,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = components(links.selectExpr("node a", "other b"))
     named = nodes.select("node", "n_copies", "rep").join(sums, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = settle(named)
-    names = named.groupBy("root").agg(F.min("rep").alias("class"))
-    told = settle(join_unique(named, settle(names), "root").select("node", "class", (F.coalesce("docs", F.lit(0)) + F.col("n_copies") - 1).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts")))
+    names = settle(named.groupBy("root").agg(F.min("rep").alias("class"), F.count(F.lit(1)).alias("k")))
+    heavy, rest = split_heavy(named, names, "root", row_count(named), "k")
+    links_of = F.coalesce("docs", F.lit(0)) + F.col("n_copies") - 1
+    told = settle(heavy.unionByName(rest).select("node", "class", links_of.alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"), "n_copies"))
     rows = settle(signed.select("id", "th", F.when(F.col("n_grams") > 0, F.col("node")).alias("node")))
-    out = join_unique(rows, told, "node", "left")
+    heavy, rest = split_heavy(rows.where("node is not null"), told, "node", row_count(rows), "n_copies")
+    out = heavy.unionByName(rest).unionByName(rows.where("node is null"), allowMissingColumns=True)
     lone = F.col("class").isNull()
     return out.select(
         F.col("id").alias(id_col),
