@@ -5,13 +5,16 @@ text and one of all (raw) text, are multinomials over BUCKETS buckets. A
 document's log importance weight is the sum over its n-grams of the log ratio
 of the two. The sample is drawn without replacement with probabilities that
 follow the weights, by Gumbel top-k: each row's weight plus a Gumbel variate
-of its own, the k largest kept.
+of its own, the k largest kept. A sum over more n-grams spreads more, with the
+root of their number, so weights are compared at one length: divided by the
+root of n_grams, times that of REFERENCE.
 
 Raw counts cover every text. The target is labelled rows; at most
 MAX_LABELLED of them (those whose hashed id is smallest) are used, and go to
 the readers of the texts by broadcast. Four in five of them (by hash) make the target
-model; on the others, which the model has not seen, a bar on weight per
-n-gram is fitted that parts good from bad best. k is the number of documents
+model; on the others, which the model has not seen, a bar on the compared
+weight is fitted that parts good from bad best, where a good row lost counts
+twice. k is the number of documents
 over that bar, or a share of all rows, if one is given. The least score of the
 sample, the k-th largest of all, is found exactly by counting digits of the
 scores in a few passes, without a global sort.
@@ -42,6 +45,8 @@ BUCKETS = 1 << 20
 MAX_LABELLED = 50_000
 #: Added to a bucket's target count and to the count expected of it: rare n-grams tell little.
 SMOOTHING = 5.0
+#: n-grams of the length at which weights are compared.
+REFERENCE = 600
 SEED = 20_240_229
 
 
@@ -109,13 +114,13 @@ def weigh(docs: DataFrame, both: np.ndarray) -> DataFrame:
 
 
 def fit_bar(rows: list[tuple[float, bool]]) -> float:
-    """The bar on weight per n-gram that parts good rows from others with the largest mean of both rates."""
+    """The bar that parts good rows from others with the largest mean of both rates, that of good rows taken twice."""
     x, good = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], bool)
     if not len(x) or good.all() or not good.any():
         return 0.0
     order = np.argsort(x)
     x, good = x[order], good[order]
-    right = np.cumsum(~good) / (~good).sum() - np.cumsum(good) / good.sum()
+    right = np.cumsum(~good) / (~good).sum() - 2 * np.cumsum(good) / good.sum()
     best = int(np.argmax(right))
     return float((x[best] + x[min(best + 1, len(x) - 1)]) / 2)
 
@@ -149,16 +154,17 @@ def resample(
     weighed = weigh(marked.select("id", "text", F.when(~F.col("fits"), F.col("good")).alias("good"), in_target.alias("fits")), both)
     # a variate in (0, 1), the same wherever and however often it is computed
     uniform = (F.shiftrightunsigned(F.xxhash64("id", "th", F.lit(seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    score = F.col("log_weight") - F.log(-F.log(uniform))
+    compared = F.col("log_weight") * F.sqrt(REFERENCE / F.nullif(F.col("n_grams").cast("double"), F.lit(0.0)))
+    score = compared - F.log(-F.log(uniform))
     # greatest and least pass over nulls
     rank = F.when(score.isNotNull(), F.floor(F.greatest(F.least(score, F.lit(1e9)), F.lit(-1e9)) * 1e9).cast("long"))
-    weighed = settle(weighed.withColumn("score", score).withColumn("rank", rank))
+    weighed = settle(weighed.withColumn("compared", compared).withColumn("score", score).withColumn("rank", rank))
     able = weighed.where("log_weight is not null")
     if share is None:
-        told = able.where("good is not null").select((F.col("log_weight") / F.col("n_grams")).alias("w"), "good")
+        told = able.where("good is not null").select(F.col("compared").alias("w"), "good")
         # one row for each labelled row, of which there are at most max_labelled ids
         bar = fit_bar([(r["w"], r["good"]) for r in told.collect()])
-        k = able.where(F.col("log_weight") / F.col("n_grams") > bar).count()
+        k = able.where(F.col("compared") > bar).count()
     else:
         k = round(able.count() * share)
     least = kth_largest(able, "rank", k) if k else None
