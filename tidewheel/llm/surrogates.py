@@ -46,19 +46,22 @@ NEUTRAL = ["Dr", "Prof"]
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
 _NAME = r"\p{Lu}[\p{L}'’]{1,30}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: The types and what they look like; where several fit, the first counts.
+_LABEL = r"""(?i:password|passwd|pwd|secret|token|api_key|apikey)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
+#: The types and what they look like; where several fit, the first counts. Each tells by its first sign where it cannot be.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
-    "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"""(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?)[A-Za-z0-9_+/=\-]{8,}+""",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
-    "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
-    "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|(?<![\w+])\+\d{8,14}(?!\w)",
-    "person": rf"(?<![\p{{L}}\d]){_TITLE} {_NAME}(?:[ \-]{_NAME}){{0,2}}",
+    "access_key": r"(?:AKIA|ASIA)(?<![A-Za-z0-9].{4})[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "secret": _LABEL + r"[A-Za-z0-9_+/=\-]{8,}+",
+    "iban": r"[A-Z](?<![A-Za-z0-9].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": rf"(?=[0-9])(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
+    "ssn": r"\d(?<![\w\-].)\d{2}-\d{2}-\d{4}(?![\w\-])",
+    "card": r"\d(?<![\w\-].)(?:[ \-]?\d){12,18}(?![\w\-])",
+    "phone": r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|\+\d{8,14}(?!\w))",
+    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}\d]){_TITLE} {_NAME}(?:[ \-]{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every finding holds one of these; texts without them are passed over by a single quick scan.
+MAYBE = rf"[0-9@]|[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"' \t]{{0,4}}.)|(?=\p{{Lu}}){_TITLE} \p{{Lu}}"
 
 # Syllables of made-up names, and their endings by gender, for each script.
 _SYLLABLES = {
@@ -89,6 +92,7 @@ def _normal(kind: Column, found: Column) -> Column:
         .when(kind.isin("card", "ssn"), F.regexp_replace(found, r"\D", ""))
         .when(kind == "phone", F.regexp_extract(F.regexp_replace(found, r"\D", ""), r"(\d{1,10})\z", 1))  # without the country's code
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
+        .when(kind == "secret", F.regexp_replace(found, rf"\A{_LABEL}", ""))
         .when(kind == "person", F.regexp_replace(found, _TITLE_FIRST, ""))
         .otherwise(found)
     )
@@ -212,14 +216,21 @@ def _render(kind: Column, found: Column, made: Column) -> Column:
     return (
         F.when(kind.isin("card", "phone", "ssn", "iban"), laid)
         .when(kind == "person", _ended_name(found, made))
+        .when(kind == "secret", F.concat(F.regexp_extract(found, rf"\A{_LABEL}", 0), made))
         .when((kind == "email") & (found == F.upper(found)), F.upper(made))
         .otherwise(made)
     )
 
 
+def findings(text_col: str) -> Column:
+    """All findings of a text in order, repeats included; null for null."""
+    text = F.col(text_col)
+    return F.when(text.rlike(MAYBE), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).when(text.isNotNull(), F.array().cast("array<string>"))
+
+
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """kind, value: the different entities of all texts."""
-    found = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)))).alias("f"))
+    found = docs.select(F.explode(F.array_distinct(findings(text_col))).alias("f"))
     found = found.withColumn("kind", _kind(F.col("f")))
     return found.select("kind", _normal(F.col("kind"), F.col("f")).alias("value")).distinct()
 
@@ -248,9 +259,9 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     """docs with surrogates in text_col; with report, also n_replaced (bigint)."""
     odd = exceptions(settle(entities(docs, text_col)), key)
     n_odd = odd.count()
-    keyed = docs.withColumn("_found", F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)))
+    keyed = docs.withColumn("_found", findings(text_col))
     if n_odd:
-        spoken = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(ANY), F.lit(0)))).alias("f"))
+        spoken = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.explode(F.array_distinct(findings(text_col))).alias("f"))
         spoken = spoken.withColumn("kind", _kind(F.col("f"))).withColumn("k", F.concat_ws("\x1f", "kind", _normal(F.col("kind"), F.col("f"))))
         named = odd.select(F.concat_ws("\x1f", "kind", "value").alias("k"), "attempt")
         met = spoken.join(F.broadcast(named), "k") if n_odd <= MAX_BROADCAST else join_unique(settle(spoken), named, "k")
