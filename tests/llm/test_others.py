@@ -168,6 +168,16 @@ def test_surrogates_keep_type_coreference_and_format(spark):
     assert other[1] != got[1]
 
 
+def test_telephone_numbers_of_many_lands(spark):
+    numbers = ["+1 (584) 555-6753", "(584) 555-6753", "584.555.6753", "+44 20 7946 0958", "+49 30 1234567", "+33 1 23 45 67 89", "01 23 45 67 89", "+4930123456789"]
+    rows = [(i, f"call {n}, now") for i, n in enumerate(numbers)]
+    for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect():
+        was, now = rows[r.doc_id][1], r.text
+        assert now != was and re.sub(r"\d", "0", now) == re.sub(r"\d", "0", was), (was, now)
+    plain = [(1, "in 2024 there were 1 234 567 of 12.5 and 3-4 or 1999-2003, +5 more")]
+    assert surrogates.replace_pii(spark.createDataFrame(plain, "doc_id long, text string"), "k").first().text == plain[0][1]
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     # so few surrogates that first tries must collide
     monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, value, attempt: F.concat(F.lit("10.0.0."), F.pmod(F.xxhash64(value, attempt), F.lit(60)).cast("string")))

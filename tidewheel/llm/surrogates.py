@@ -56,7 +56,7 @@ PATTERNS = {
     "ip": rf"(?=[0-9])(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\w]|\.\d)",
     "ssn": r"\d(?<![\w\-].)\d{2}-\d{2}-\d{4}(?![\w\-])",
     "card": r"\d(?<![\w\-].)(?:[ \-]?\d){12,18}(?![\w\-])",
-    "phone": r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|\+\d{8,14}(?!\w))",
+    "phone": r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|\+(?=(?:[ .()\-]{0,2}\d){8,15}(?![\w]))\d[\d .()\-]{6,18}\d|0\d(?:[ .]\d{2}){4}(?![\w\-]))",
     "person": rf"(?=\p{{Lu}})(?<![\p{{L}}\d]){_TITLE} {_NAME}(?:[ \-]{_NAME}){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
