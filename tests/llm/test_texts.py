@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
+from tidewheel.llm import components as components_
 from tidewheel.llm import line_dedup, ngram_join, perplexity, words
 from tidewheel.llm.components import components
 
@@ -128,7 +130,9 @@ def test_banding_reaches_its_recall():
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 256
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("local", [0, 100, 500_000])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    monkeypatch.setattr(components_, "LOCAL_EDGES", local)
     edges = [(i, i + 1) for i in range(200)] + [(1000, k) for k in range(1001, 1100)]
     got = {}
     for r in components(spark.createDataFrame(edges, "a long, b long")).collect():
