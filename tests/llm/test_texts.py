@@ -203,3 +203,26 @@ def test_counts_cover_all_texts(spark):
 def test_no_model_is_no_crash():
     texts = words.Texts(np.zeros(0, "u1"), np.array([0, 0]))
     assert perplexity.measure(texts)["n_words"].tolist() == [0]
+
+
+def test_perplexity_and_bands_by_their_definition(spark):
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 7))) for _ in range(60)]
+    texts = []
+    for i in range(28):
+        text = [str(w) for w in rng.choice(vocabulary, 60)]
+        for at in rng.choice(60, 2 * max(0, i - 23), replace=False):  # the last ones are more and more monotonous
+            text[at] = "z" * 20
+        texts.append(" ".join(text))
+    probs = brute_kneser_ney([t.encode() for t in texts], perplexity.ORDER)
+    pad = b"\0" * (perplexity.ORDER - 1)
+    log_ppl = [-float(np.mean([np.log(probs[(pad + t.encode())[i : i + perplexity.ORDER]]) for i in range(len(t))])) for t in texts]
+    got = {r.doc_id: r for r in perplexity.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")).collect()}
+    good = sorted(x for i, x in enumerate(log_ppl) if not got[i].base_failed)
+    low, middle, high = (good[int(np.ceil(p * len(good))) - 1] for p in (0.25, 0.5, 0.75))
+    lost = 0
+    for i, x in enumerate(log_ppl):
+        far = abs(x - middle) > 2.5 * (high - low) * (1 + 30 / 60)
+        assert abs(got[i].log_ppl - x) < 1e-5 and got[i].kept == (not got[i].base_failed and not far)
+        lost += far and middle - max(5 * (high - low), 0.15) * (1 + 30 / 60) <= x <= middle + max(3.5 * (high - low), 0.10) * (1 + 30 / 60)
+    assert lost  # a band with a least width keeps these
