@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tidewheel.llm import components as components_
-from tidewheel.llm import line_dedup, ngram_join, perplexity, words
+from tidewheel.llm import common, line_dedup, ngram_join, perplexity, words
 from tidewheel.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -226,3 +226,21 @@ def test_perplexity_and_bands_by_their_definition(spark):
         assert abs(got[i].log_ppl - x) < 1e-5 and got[i].kept == (not got[i].base_failed and not far)
         lost += far and middle - max(5 * (high - low), 0.15) * (1 + 30 / 60) <= x <= middle + max(3.5 * (high - low), 0.10) * (1 + 30 / 60)
     assert lost  # a band with a least width keeps these
+
+
+def test_ngrams_of_the_model_are_not_merged(spark, odd, docs):
+    n = 40_000  # in 2^24 slots, about 48 pairs of these shared one and its mean
+    model = spark.createDataFrame([(lang, g, 1 + g % 1000, (1 + g) / n) for g in range(n // 2) for lang in ("en", "de")], "lang string, g long, n long, p double")
+    table = common.settle(perplexity.hashed(model))
+    parts = list(perplexity.slices(table, 5_000))
+    keys = np.concatenate([k for k, _ in parts])
+    assert len(parts) == 8 and max(len(k) for k, _ in parts) < 7_000 and len(np.unique(keys)) == n
+    assert sorted(np.concatenate([p for _, p in parts]).tolist()) == sorted(np.log((1 + np.arange(n // 2)) / n).astype("f4").tolist() * 2)
+    for df in (docs.limit(40).unionByName(docs.limit(3)), odd.select(docs.columns)):
+        plain = df.selectExpr("doc_id AS id", "coalesce(lang, '') AS lang", "text")
+        table = common.settle(perplexity.hashed(perplexity.kneser_ney(perplexity.count_grams(plain))))
+        one, many = (perplexity.score(plain, table, size).collect() for size in (1 << 23, table.settled_rows // 3))
+        order = lambda rows: sorted(rows, key=lambda r: (r.id or 0, r.n_words, r.lang))
+        assert len(one) == len(many) == df.count()
+        for a, b in zip(order(one), order(many), strict=True):
+            assert a[:-1] == b[:-1] and (a.log_ppl is None) == (b.log_ppl is None) and abs((a.log_ppl or 0) - (b.log_ppl or 0)) < 1e-9
