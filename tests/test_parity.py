@@ -178,3 +178,33 @@ def test_quality(spark):
     assert Q.version_hash(df).first().hash == Q.version_hash(df.orderBy(F.desc("ds"))).first().hash
     assert S.clean(F.lit(1.0)) is not None
     assert spark.range(1).select(S.clean(F.lit(float("nan"))).alias("x")).first().x is None
+
+
+def test_sparse_panels_and_alignment_cover_all_rows(spark, tmp_path):
+    from tidewheel.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(5)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(int(x)) for x in rng.integers(0, 500, 60)]
+    orders = pd.DataFrame({"o_custkey": rng.choice([3, 250, 301, 70_001], 60), "o_orderdate": days, "o_orderpriority": rng.choice(["1-URGENT", "5-LOW"], 60), "o_totalprice": rng.integers(1, 9000, 60) * 1.0})
+    spark.createDataFrame(list(orders.itertuples(index=False, name=None)), "o_custkey long, o_orderdate date, o_orderpriority string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    month = pd.to_datetime(orders["o_orderdate"]).dt.to_period("M")
+    fill, line, gap = {}, {}, {}
+    for k, part in orders["o_totalprice"].groupby([orders["o_custkey"], month]).sum().groupby(level=0):
+        y = part.droplevel(0)
+        full = y.reindex(pd.period_range(y.index.min(), y.index.max(), freq="M"))
+        ends = full.index.to_timestamp(how="end").date
+        fill |= {(k, d): v for d, *v in zip(ends, full.ffill(), full.bfill(), full.fillna(y.median()), strict=True)}
+        even = pd.Series(full.to_numpy(), index=pd.to_datetime(ends)).interpolate("time")
+        line |= {(k, d): v for d, v in zip(ends, even, strict=True)}
+        gap |= {(k, b.to_timestamp(how="end").date()): (b - a).n for a, b in zip(y.index[:-1], y.index[1:], strict=True) if (b - a).n > 2}
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {(r.k, r.ds): [r.forward, r.backward, r.imputed] for r in run("ffill_gaps_all")}
+    assert set(got) == set(fill) and all(got[k] == pytest.approx(fill[k]) for k in fill)
+    got = {(r.unique_id, r.ds): r.y for r in run("linear_interpolation_all")}
+    assert set(got) == set(line) and all(got[k] == pytest.approx(line[k], abs=1e-3) for k in line)
+    assert gap and {(r.unique_id, r.ds): r.months for r in run("gap_detect_all")} == gap
+    events = [(i, int(rng.integers(0, 45)), dt.datetime(2020, 1, 1) + dt.timedelta(minutes=int(rng.integers(0, 3000))), float(i * 7 % 101)) for i in range(200)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, value double").write.parquet(str(tmp_path / "events.parquet"))
+    hour = lambda t: t.replace(minute=0)
+    want = {i: max(v for _, x, s, v in events if x == u and hour(s) == hour(t)) for i, u, t, _ in events}
+    assert {r.event_id: r.v for r in run("asof_align_all")} == want

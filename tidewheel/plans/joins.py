@@ -66,6 +66,15 @@ def asof_align(spark, d):
     return H.as_of(left, right.withColumn("ts", F.col("ts").cast(left.schema["ts"].dataType)), "ts", ["k"], ["v"])
 
 
+@query("asof_align_all")
+def asof_align_all(spark, d):
+    """Every event with the last hourly maximum of its own user; no SQL, compared with plain code in the tests."""
+    events = src.table(spark, d, "events")
+    left = events.select("event_id", F.col("user_id").alias("k"), "ts")
+    right = events.groupBy(F.col("user_id").alias("k"), F.date_trunc("hour", "ts").alias("ts")).agg(F.max("value").alias("v"))
+    return H.as_of(left, right.withColumn("ts", F.col("ts").cast(left.schema["ts"].dataType)), "ts", ["k"], ["v"])
+
+
 @query("seasonal_self_join", f"WITH {SALES} SELECT a.unique_id, a.ds, {r('a.y', 'y')}, {r('b.y', 'y_year_before')} FROM p a JOIN p b ON a.unique_id = b.unique_id AND b.ds = last_day(a.ds - INTERVAL 12 MONTH)")
 def seasonal_self_join(spark, d):
     p = src.sales_panel(spark, d)

@@ -216,11 +216,26 @@ def month_one_hot(spark, d):
 def ffill_gaps(spark, d):
     rows = src.table(spark, d, "orders").where("o_orderpriority = '1-URGENT' AND o_custkey < 20")
     g = rows.groupBy((F.col("o_custkey") % 7).alias("k"), S.month_end(F.col("o_orderdate")).alias("ds")).agg(F.round(F.sum("o_totalprice"), 4).alias("y"))
+    return _filled(g)
+
+
+def _filled(g):
     w = V.over_time("k")
     full = src.complete_months(g, ["k"])
     return full.select("k", "ds", V.forward_fill(F.col("y"), w).alias("forward"), V.backward_fill(F.col("y"), w).alias("backward"), F.coalesce("y", F.median("y").over(Window.partitionBy("k"))).alias("imputed"))
 
 
+# the _all queries: every order by customer, a key that is sparse by itself; no SQL, compared with plain code in the tests
+def _by_customer(spark, d, key="unique_id"):
+    rows = src.table(spark, d, "orders")
+    return rows.groupBy(F.col("o_custkey").alias(key), S.month_end(F.col("o_orderdate")).alias("ds")).agg(F.round(F.sum("o_totalprice"), 4).alias("y"))
+
+
+@query("ffill_gaps_all")
+def ffill_gaps_all(spark, d):
+    return _filled(_by_customer(spark, d, "k"))
+
+
 @query("month_profile", f"WITH {SALES} SELECT unique_id, month(ds)::INT AS month, {r('avg(y)', 'mean')} FROM p GROUP BY 1, 2")
 def month_profile(spark, d):
     return _panel(spark, d).groupBy("unique_id", F.month("ds").alias("month")).agg(F.avg("y").alias("mean"))
@@ -291,6 +306,11 @@ def gap_detect(spark, d):
     return Q.gaps(_sparse(spark, d), 2)
 
 
+@query("gap_detect_all")
+def gap_detect_all(spark, d):
+    return Q.gaps(_by_customer(spark, d), 2)
+
+
 @query(
     "linear_interpolation",
     f"""WITH {_SPARSE}, n AS (SELECT unique_id, last_day(unnest(generate_series(date_trunc('month', min(ds)), date_trunc('month', max(ds)), INTERVAL 1 MONTH))::DATE) AS ds FROM v GROUP BY 1),
@@ -300,7 +320,16 @@ def gap_detect(spark, d):
     SELECT unique_id, ds, {r('coalesce(y, ya + (yb - ya) * (ds - ta)::DOUBLE / nullif((tb - ta)::DOUBLE, 0))', 'y', 4)} FROM h""",
 )
 def linear_interpolation(spark, d):
-    return src.complete_months(_sparse(spark, d), ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(F.col("y"), V.over_time(), F.col("ds")), 4).alias("y"))
+    return _interpolated(_sparse(spark, d))
+
+
+@query("linear_interpolation_all")
+def linear_interpolation_all(spark, d):
+    return _interpolated(_by_customer(spark, d))
+
+
+def _interpolated(panel):
+    return src.complete_months(panel, ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(F.col("y"), V.over_time(), F.col("ds")), 4).alias("y"))
 
 
 @query("duplicate_days", "SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
