@@ -215,3 +215,13 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
 def test_entry_works_without_the_subpackage(tmp_path):
     code = "import sys; sys.modules['tidewheel.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'panel_monthly' in q and 'op1_line_dedup' not in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=".", timeout=60)
+
+
+def test_keys_of_letters_and_addresses_in_any_script(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    rows = [(1, f"key {key} here"), (2, "an josé.90@müller.de geschrieben"), (3, "пиши иван@почта.рф сейчас"), (4, "请联系我的邮箱user7@example.com谢谢"), (5, "é" * 80 + "user8@example.com")]
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1] != rows[0][1] and key not in got[1]
+    for i, gone in ((2, ("josé", "müller", "é")), (3, ("иван", "почта")), (4, ("user7",)), (5, ("user8",))):
+        assert "@" in got[i] and not any(x in got[i] for x in gone), got[i]
+    assert got[2].startswith("an ") and got[2].endswith(".de geschrieben") and got[4].startswith("请联系我的邮箱") and got[4].endswith(".com谢谢") and got[5].startswith("é" * 80)

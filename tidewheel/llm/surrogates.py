@@ -47,9 +47,13 @@ _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)
 _NAME = r"\p{Lu}[\p{L}'’]{1,30}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LABEL = r"""(?i:password|passwd|pwd|secret|token|api_key|apikey)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
+# Letters of scripts that put spaces between words; where none are, a local part of other letters has no beginning.
+_SPACELESS = r"&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+_WIDE = r"\p{L}\p{M}0-9._%+\-" + _SPACELESS
+_HOST = r"\p{L}\p{M}0-9\-" + _SPACELESS
 #: The types and what they look like; where several fit, the first counts. Each tells by its first sign where it cannot be.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}",
+    "email": rf"(?:(?<![{_WIDE}])[{_WIDE}]{{1,64}}+|(?<=[^\x00-\x7F])[A-Za-z0-9._%+\-]{{1,64}}+)@[{_HOST}]{{1,63}}(?:\.[{_HOST}]{{1,63}}){{1,8}}",
     "access_key": r"(?:AKIA|ASIA)(?<![A-Za-z0-9].{4})[0-9A-Z]{16}(?![A-Za-z0-9])",
     "secret": _LABEL + r"[A-Za-z0-9_+/=\-]{8,}+",
     "iban": r"[A-Z](?<![A-Za-z0-9].)[A-Z]\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -61,7 +65,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every finding holds one of these; texts without them are passed over by a single quick scan.
-MAYBE = rf"[0-9@]|[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"' \t]{{0,4}}.)|(?=\p{{Lu}}){_TITLE} \p{{Lu}}"
+MAYBE = rf"[0-9@]|A(?:KIA|SIA)[A-Z]|[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"' \t]{{0,4}}.)|(?=\p{{Lu}}){_TITLE} \p{{Lu}}"
 
 # Syllables of made-up names, and their endings by gender, for each script.
 _SYLLABLES = {
@@ -125,7 +129,8 @@ def _redraw(value: Column, digest: Column, hexadecimal: Column) -> Column:
             size = len(letters)
             out = out.when(F.contains(F.lit(letters), c), F.substring(F.lit(letters), n % size + 1, F.lit(1)))
             out = out.when(F.contains(F.lit(letters.upper()), c), F.substring(F.lit(letters.upper()), n % size + 1, F.lit(1)))
-        return out.otherwise(c)
+        latin = F.substring(F.lit(_ALPHABETS[0]), n % 26 + 1, F.lit(1))
+        return out.when(c.rlike(r"\p{Lu}"), F.upper(latin)).when(c.rlike(r"[\p{L}\p{M}]"), latin).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
