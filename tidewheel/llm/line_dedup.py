@@ -15,6 +15,9 @@ so every later run of min_words words or more goes, whichever text it repeats,
 in the order (doc_id, text hash, line). A deleted line always equals an
 earlier one, so the first copy of each line stays.
 
+Lines match as wholes: a passage inside a line, or one whose whole lines hold
+fewer than min_words words, stays.
+
 Edge cases. Null text: the row is kept as it is, with no lines. Empty text:
 one empty line, kept. Blank lines never match by themselves; those inside a
 deleted run go with it. Rows that repeat both doc_id and text count once as a
