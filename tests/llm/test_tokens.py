@@ -6,8 +6,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 
 from tidewheel.llm import bin_slack, byte_bpe, token_counts
 
@@ -91,9 +93,21 @@ def test_sections_of_ones_own(spark):
 
 
 def test_word_ids_are_the_librarys():
-    own = bin_slack.WordTokenizer(WORDS)
-    for text in [*odd_texts(), "<|endoftext|> a"]:
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    own, lib = bin_slack.WordTokenizer(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    texts = [*odd_texts(), "x <|endoftext|> a", "a<|endoftext|>b", " <|startoftext|>\n<|endoftext|>", "<|endof\ntext|> <|EndOfText|>", None, "word " * 3, "  lead", "trail  "]
+    want = [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+    ids, begin = own.encode_all(pa.array(["cut off", *texts]).slice(1))
+    for k, text in enumerate(texts):
+        assert ids[begin[k] : begin[k + 1]].tolist() == want[k], repr(text)
+    assert want[4004 + 2] == [343, 49407, 320]
+
+
+def test_a_full_memo_and_small_blocks_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(bin_slack, "MEMO_SIZE", 50)
+    monkeypatch.setattr(bin_slack, "AT_ONCE", 7)
+    own, lib = bin_slack.WordTokenizer(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    for r in docs.limit(10).collect():
+        assert np.frombuffer(own.encode(r.text), "<u4").tolist() == lib.encode(r.text, add_special_tokens=False).ids
 
 
 def check_packing(rows, texts, own):
@@ -110,7 +124,7 @@ def check_packing(rows, texts, own):
     for r in rows:
         pieces.setdefault(r.doc_id, []).append(r)
     for i, text in texts:
-        ids = np.append(np.frombuffer(own.encode(text or ""), "<u4"), 0).astype("<u4")
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         got = sorted(pieces[i], key=lambda r: r.piece)
         copies = len([r for r in got if r.piece == 0])
         assert sum(r.length for r in got) == copies * len(ids)
@@ -119,7 +133,7 @@ def check_packing(rows, texts, own):
 
 
 def test_packed_documents(spark, docs, odd):
-    own = bin_slack.WordTokenizer(WORDS)
+    own = tokenizers.Tokenizer.from_file(WORDS)
     for df in (docs, odd):
         rows = bin_slack.pack_documents(df, WORDS).collect()
         n = check_packing(rows, {(r.doc_id, r.text) for r in df.collect()}, own)

@@ -35,47 +35,110 @@ from .common import settle
 CAPACITY = 2048
 END_ID = 0
 SALTS = 64
-#: Words a worker keeps the ids of before it starts anew: its memory bound.
-MEMO_SIZE = 600_000
+#: Words a worker keeps the ids of, twice: those met lately, and those met before. Its memory bound.
+MEMO_SIZE = 300_000
+#: Words that are looked up at a time, and encoded in one string.
+AT_ONCE, IN_ONE = 600_000, 1000
+
+_BREAK = np.arange(256, dtype="u1")
+_BREAK[[9, 10, 13]] = 32
+_LOWER = _BREAK.copy()
+_LOWER[65:91] += 32
+_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[97:123] = True
+_STOP[list(b",.")] = True
+
+
+def _bare(words: pa.LargeBinaryArray) -> list[bytes]:
+    """The values of an array without the spaces at their ends."""
+    offsets, data = np.frombuffer(words.buffers()[1], "i8")[: len(words) + 1], words.buffers()[2].to_pybytes()
+    ends, raw = offsets[1:].copy(), np.frombuffer(data, "u1")
+    while (spaces := raw[ends - 1] == 32).any():
+        ends -= spaces
+    return [data[a:b] for a, b in zip(offsets[:-1].tolist(), ends.tolist(), strict=True)]
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space, by memo over words."""
+    """Ids of a tokenizer that drops white space and case: words between spaces are encoded one by one, each different one once."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.memo) + len(new) > MEMO_SIZE:
-            self.memo.clear()
-        plain = [w for w in new if w.isalpha()]  # one piece each, whose last id alone ends a word
-        packed = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[packed]) + 1
-        if len(ends) == len(plain):
+        self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _learn(self, new: list[bytes]) -> None:
+        words = [w.decode() for w in new]
+        plain = [w for w in words if w.isalpha()]  # one piece each, whose last id alone ends a word
+        rest = [w for w in words if not w.isalpha()]
+        joined = [plain[i : i + IN_ONE] for i in range(0, len(plain), IN_ONE)]
+        for some, got in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
+            packed = np.array(got.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[packed]) + 1
+            if len(ends) != len(some):
+                rest += some
+                continue
             data, at = packed.tobytes(), 0
-            for word, end in zip(plain, (ends * 4).tolist(), strict=True):
-                self.memo[word] = data[at:end]
+            for word, end in zip(some, (ends * 4).tolist(), strict=True):
+                self.memo[word.encode()] = data[at:end]
                 at = end
-            new = [w for w in new if not w.isalpha()]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.memo[word] = np.array(got.ids, "<u4").tobytes()
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.memo[word.encode()] = np.array(got.ids, "<u4").tobytes()
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        if len(self.memo) > MEMO_SIZE:
+            self.memo, self.older = {}, self.memo
+        found = list(map(self.memo.get, words))
+        if None in found:
+            lack = {w for w, p in zip(words, found, strict=True) if p is None}
+            known = {w: p for w in lack if (p := self.older.get(w)) is not None}
+            self.memo |= known
+            self._learn(list(lack - known.keys()))
+            found = [p if p is not None else self.memo[w] for w, p in zip(words, found, strict=True)]
+        return found
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow column of texts one after the other, nulls as empty ones, and where each text's begin."""
+        column = texts.cast(pa.large_binary()).fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], "i8")[column.offset : column.offset + len(column) + 1]
+        data = column.buffers()[2]
+        raw = np.frombuffer(data, "u1")[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, "u1")
+        special = ((raw[:-1] == 60) & (raw[1:] == 124)).any()  # special tokens, <|...|>, are matched before case is dropped
+        raw, offsets = (_BREAK if special else _LOWER)[raw], offsets - offsets[0]
+        filled = raw != 32
+        first = filled.copy()
+        first[1:] &= ~filled[:-1]
+        inner = offsets[:-1][offsets[:-1] < len(raw)]
+        first[inner] |= filled[inner]  # a text begins a word
+        first[1:] |= _LETTER[raw[:-1]] & _STOP[raw[1:]]  # and so, by the tokenizer's pattern, does a mark after a letter
+        starts = np.flatnonzero(first)
+        del filled, first
+        ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, "i8")]
+        for at in range(0, len(starts), AT_ONCE):
+            part = starts[at : at + AT_ONCE]
+            end = starts[at + AT_ONCE] if at + AT_ONCE < len(starts) else len(raw)
+            # a word with the spaces behind it
+            spans = np.append(part, end)
+            words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(part), [None, pa.py_buffer(spans - spans[0]), pa.py_buffer(raw[spans[0] : end])]).dictionary_encode()
+            known = self._ids(_bare(words.dictionary))
+            flat, size = np.frombuffer(b"".join(known), "<u4"), np.fromiter(map(len, known), "i8", len(known)) // 4
+            which = np.asarray(words.indices)
+            n = size[which]
+            begin = (np.cumsum(size) - size)[which]
+            ends = np.cumsum(n)
+            ids.append(flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1])])
+            counts.append(n)
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(ids), upto[np.searchsorted(starts, offsets)]
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers. The tokenizer drops white space, so words are encoded one by one."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        packed = list(map(self.memo.get, words))
-        if None in packed:
-            self._learn(list({w for w, p in zip(words, packed, strict=True) if p is None}))
-            packed = [p if p is not None else self.memo[w] for w, p in zip(words, packed, strict=True)]
-        return b"".join(packed)
+        """Ids as little-endian unsigned 32-bit numbers."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
 
 
 @functools.lru_cache(2)
@@ -91,8 +154,9 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         own, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, packed in enumerate(map(own.encode, (t.as_py() or "" for t in batch.column(1)))):
-                packed += end
+            ids, begin = own.encode_all(batch.column(1))
+            for row in range(batch.num_rows):
+                packed = ids[begin[row] : begin[row + 1]].tobytes() + end
                 for k, at in enumerate(range(0, len(packed), 4 * capacity)):
                     part = packed[at : at + 4 * capacity]
                     rows.append(row)
