@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from tidewheel.llm import components as components_
-from tidewheel.llm import common, line_dedup, ngram_join, perplexity, words
+from tidewheel.llm import common, line_dedup, ngram_join, perplexity, surrogates, words
 from tidewheel.llm.components import components
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -165,24 +165,50 @@ def test_measures(spark, docs, odd):
     assert kept.columns == docs.columns and kept.count() == perplexity.judge(docs).where("kept").count()
 
 
-def brute_kneser_ney(texts, order=3):
-    """Interpolated modified Kneser-Ney over bytes, from the definition."""
+def brute_levels(texts, order=3):
+    """Interpolated modified Kneser-Ney over bytes, from the definition: counts, their discounts, and the probabilities of each order, lowest first."""
     counts = Counter(data[i - order : i] for t in texts for data in [b"\0" * (order - 1) + t] for i in range(order, len(data) + 1))
     levels = [counts]
     for _ in range(order - 1):
         levels.append(Counter(g[1:] for g in levels[-1]))
-    probs = {}
+    told = []
     for level in reversed(levels):
         n = [sum(c == k for c in level.values()) for k in range(5)]
         y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
-        cut = [max(0.05 * i, min(0.95 * i, i - (i + 1) * y * (n[i + 1] / n[i] if n[i] else 0.0))) for i in (1, 2, 3)]
-        here = {}
+        cut = [0.0, *(max(0.05 * i, min(0.95 * i, i - (i + 1) * y * (n[i + 1] / n[i] if n[i] else 0.0))) for i in (1, 2, 3))]
+        mates, probs = {}, {}
+        for g, c in level.items():
+            mates.setdefault(g[:-1], []).append(c)
         for g, c in level.items():
-            mates = [(x, k) for x, k in level.items() if x[:-1] == g[:-1]]
-            total, lost = sum(k for _, k in mates), sum(cut[min(k, 3) - 1] for _, k in mates)
-            here[g] = (c - cut[min(c, 3) - 1]) / total + lost / total * (probs[g[1:]] if probs else 1 / 256)
-        probs = here
-    return probs
+            total, lost = sum(mates[g[:-1]]), sum(cut[min(k, 3)] for k in mates[g[:-1]])
+            probs[g] = (c - cut[min(c, 3)]) / total + lost / total * (told[-1][g[1:]] if told else 1 / 256)
+        told.append(probs)
+    return counts, cut, told
+
+
+def brute_kneser_ney(texts, order=3):
+    return brute_levels(texts, order)[2][-1]
+
+
+def brute_log_ppl(texts, order):
+    """Of each text by letter, its own counts and its copies' left out of the highest order."""
+    counts, cut, told = brute_levels(texts, order)
+    followers = {}
+    for g in counts:
+        followers.setdefault(g[:-1], []).append(g)
+    out = []
+    for t in texts:
+        data = b"\0" * (order - 1) + t
+        own, copies = Counter(data[i - order : i] for i in range(order, len(data) + 1)), texts.count(t)
+        left = lambda g: max(counts[g] - copies * own[g], 0)  # noqa: E731, B023
+        total = 0.0
+        for g, times in own.items():
+            every = sum(left(x) for x in followers[g[:-1]])
+            lost = sum(cut[min(left(x), 3)] for x in followers[g[:-1]])
+            q = told[-2][g[1:]]
+            total -= times * np.log((left(g) - cut[min(left(g), 3)]) / every + lost / every * q if every else q)
+        out.append(float(total / sum(chr(c).isascii() and chr(c).isalnum() or c >= 128 for c in t)))
+    return out
 
 
 def test_kneser_ney_by_its_definition(spark):
@@ -205,42 +231,88 @@ def test_no_model_is_no_crash():
     assert perplexity.measure(texts)["n_words"].tolist() == [0]
 
 
+def prose(rng, n, words=60):
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 7))) for _ in range(60)]
+    return [" ".join(map(str, rng.choice(vocabulary, words))) for _ in range(n)]
+
+
 def test_perplexity_and_bands_by_their_definition(spark):
     rng = np.random.default_rng(3)
-    vocabulary = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 7))) for _ in range(60)]
-    texts = []
-    for i in range(28):
-        text = [str(w) for w in rng.choice(vocabulary, 60)]
-        for at in rng.choice(60, 2 * max(0, i - 23), replace=False):  # the last ones are more and more monotonous
-            text[at] = "z" * 20
-        texts.append(" ".join(text))
-    probs = brute_kneser_ney([t.encode() for t in texts], perplexity.ORDER)
-    pad = b"\0" * (perplexity.ORDER - 1)
-    log_ppl = [-float(np.mean([np.log(probs[(pad + t.encode())[i : i + perplexity.ORDER]]) for i in range(len(t))])) for t in texts]
-    got = {r.doc_id: r for r in perplexity.judge(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id int, text string, lang string")).collect()}
-    good = sorted(x for i, x in enumerate(log_ppl) if not got[i].base_failed)
-    low, middle, high = (good[int(np.ceil(p * len(good))) - 1] for p in (0.25, 0.5, 0.75))
-    lost = 0
-    for i, x in enumerate(log_ppl):
-        far = abs(x - middle) > 2.5 * (high - low) * (1 + 30 / 60)
-        assert abs(got[i].log_ppl - x) < 1e-5 and got[i].kept == (not got[i].base_failed and not far)
-        lost += far and middle - max(5 * (high - low), 0.15) * (1 + 30 / 60) <= x <= middle + max(3.5 * (high - low), 0.10) * (1 + 30 / 60)
-    assert lost  # a band with a least width keeps these
+    texts = prose(rng, 40)
+    for i in range(34, 38):  # more and more junk
+        texts[i] = " ".join(w + "$$$" * (k % (39 - i) == 0) for k, w in enumerate(texts[i].split(" ")))
+    texts[38], texts[39] = " ".join(["zz" * 10] * 25 + texts[38].split(" ")[:35]), "%%% " * 55
+    texts += [texts[0]] * 3 + [texts[1]]
+    log_ppl = brute_log_ppl([t.encode() for t in texts[:39] + texts[40:]], perplexity.ORDER)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts) if i != 39], "doc_id int, text string, lang string")
+    got = {r.doc_id: r for r in perplexity.judge(df, least=20).collect()}
+    ids = [i for i in range(len(texts)) if i != 39]
+    first = {}
+    for i, x in zip(ids, log_ppl, strict=True):
+        assert abs(got[i].log_ppl - x) < 1e-5
+        if not got[i].base_failed:
+            first[texts[i]] = round(x * 10_000)
+    v = sorted(first.values())
+    q1, q3 = (v[int(np.ceil(p * len(v))) - 1] / 10_000 for p in (0.25, 0.75))
+    for i, x in zip(ids, log_ppl, strict=True):
+        inside = q1 - 3 * (q3 - q1) <= x <= q3 + 3 * (q3 - q1)
+        assert abs(got[i].lower - (q1 - 3 * (q3 - q1))) < 2e-4 and got[i].kept == (inside and not got[i].base_failed), (i, x)
+    assert not any(got[i].kept for i in range(35, 38)) and all(got[i].kept for i in range(34)) and got[40].kept
+    few = {r.doc_id: r for r in perplexity.judge(df, least=200).collect()}
+    assert all(r.lower is None and r.kept != r.base_failed for r in few.values())
+
+
+def test_junk_goes_and_clean_documents_stay(spark):
+    """Labelled documents of sf0.01, with salad of letters planted."""
+    rng = np.random.default_rng(11)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    salad = [(-1 - i, " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), rng.integers(3, 9))) for _ in range(400)), "en") for i in range(15)]
+    got = {r.doc_id: r for r in perplexity.judge(docs.unionByName(spark.createDataFrame(salad, docs.schema))).where("not base_failed").collect()}
+    good = [r.doc_id for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").collect() if r.doc_id in got]
+    junk = [r for r in got.values() if 20 * r.n_symbols > r.word_chars]
+    assert np.mean([got[i].kept for i in good]) >= 0.98
+    assert np.mean([r.kept for r in junk]) <= 0.15 and not any(got[-1 - i].kept for i in range(15))
 
 
 def test_ngrams_of_the_model_are_not_merged(spark, odd, docs):
-    n = 40_000  # in 2^24 slots, about 48 pairs of these shared one and its mean
-    model = spark.createDataFrame([(lang, g, 1 + g % 1000, (1 + g) / n) for g in range(n // 2) for lang in ("en", "de")], "lang string, g long, n long, p double")
+    n = 40_000
+    model = spark.createDataFrame([(lang, g, 1 + g % 1000, 0.5, 1 + g, 0.5, (1 + g) / n) for g in range(n // 2) for lang in ("en", "de")], "lang string, g long, n long, p double, all long, lost double, q double")
     table = common.settle(perplexity.hashed(model))
     parts = list(perplexity.slices(table, 5_000))
-    keys = np.concatenate([k for k, _ in parts])
-    assert len(parts) == 8 and max(len(k) for k, _ in parts) < 7_000 and len(np.unique(keys)) == n
-    assert sorted(np.concatenate([p for _, p in parts]).tolist()) == sorted(np.log((1 + np.arange(n // 2)) / n).astype("f4").tolist() * 2)
+    keys = np.concatenate([t.key for t in parts])
+    assert len(parts) == 8 and len(np.unique(keys)) == n
+    for t in parts:
+        at, there = t.find(t.key)
+        assert there.all() and (t.key[at] == t.key).all() and not t.find(t.key + np.uint64(1))[1].any()
+    assert sorted(np.concatenate([t.parts[3] for t in parts]).tolist()) == sorted(((1 + np.arange(n // 2)) / n).astype("f4").tolist() * 2)
     for df in (docs.limit(40).unionByName(docs.limit(3)), odd.select(docs.columns)):
         plain = df.selectExpr("doc_id AS id", "coalesce(lang, '') AS lang", "text")
-        table = common.settle(perplexity.hashed(perplexity.kneser_ney(perplexity.count_grams(plain))))
-        one, many = (perplexity.score(plain, table, size).collect() for size in (1 << 23, table.settled_rows // 3))
+        counts = common.settle(perplexity.count_grams(plain))
+        cuts = {r["lang"]: [0.0, *r["cuts"]] for r in perplexity._discounts(counts).collect()}
+        table, told = common.settle(perplexity.hashed(perplexity.kneser_ney(counts))), common.settle(perplexity.measured(plain))
+        one, many = (perplexity.score(plain, told, table, cuts, size).collect() for size in (1 << 23, table.settled_rows // 3))
         order = lambda rows: sorted(rows, key=lambda r: (r.id or 0, r.n_words, r.lang))
         assert len(one) == len(many) == df.count()
         for a, b in zip(order(one), order(many), strict=True):
             assert a[:-1] == b[:-1] and (a.log_ppl is None) == (b.log_ppl is None) and abs((a.log_ppl or 0) - (b.log_ppl or 0)) < 1e-9
+
+
+def test_blocks_of_a_long_text_change_nothing(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join("x" * int(k) for k in rng.integers(1, 40, 300)), "é" * 500 + " b\n\nc", "", "a b c d e f"])
+    whole = [(g.words().tolist(), {k: v.tolist() for k, v in perplexity.measure(g).items()}, np.concatenate([*perplexity._grams(g), np.zeros(0, np.uint64)]).tolist()) for _, g in words.in_groups(texts)]
+    monkeypatch.setattr(words, "BLOCK", 64)
+    monkeypatch.setattr(perplexity, "BLOCK", 64)
+    monkeypatch.setattr(words, "_powers", np.ones((2, 1), np.uint64))
+    assert whole == [(g.words().tolist(), {k: v.tolist() for k, v in perplexity.measure(g).items()}, np.concatenate([*perplexity._grams(g), np.zeros(0, np.uint64)]).tolist()) for _, g in words.in_groups(texts)]
+
+
+CLASHES = ["_h", "_d", "_th", "_cuts", "_lines", "_found", "_odd", "_id", "_key", "_good", "id", "tw_0", "TW_1", "key", "hash", "cell", "total", "block"]
+
+
+@pytest.mark.parametrize("op", [perplexity.keep_good, line_dedup.drop_repeated_lines, ngram_join.keep_first, lambda df: surrogates.replace_pii(df, "k")])
+def test_columns_pass_through_whatever_they_are_called(spark, op):
+    rows = [(i, line(i, 60), "en", *[f"{c}{i}" for c in CLASHES]) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    got = op(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(rows)

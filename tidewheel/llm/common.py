@@ -6,6 +6,7 @@ Nothing here knows about a particular table: columns are passed by name.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 #: so at most HEAVY_SHARE keys can be heavy, whatever the size of the table.
 HEAVY_SHARE = 1000
 
+#: Keys that are broadcast at most, of some tens of bytes each; more are shuffled.
+MAX_KEYS = 200_000
+
 #: Rows of a settled table that a task reads at least.
 ROWS_A_TASK = 20_000
 
@@ -25,7 +29,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Leave spark.checkpoint.dir alone; name a local folder only where it is unset (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidewheel-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewheel-"))
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -85,3 +92,41 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, how: str = "inner")
     heavy = left.join(hot, key, "left_semi").join(F.broadcast(right.join(hot, key, "left_semi")), key, how)
     rest = left.join(hot, key, "left_anti").join(right, key, how)
     return heavy.unionByName(rest)
+
+
+def _meet(docs: DataFrame, keys: DataFrame, found: list[Column], how: str) -> DataFrame:
+    names = free_names(docs, len(keys.columns))
+    keys = settle(keys.toDF(*names))
+    few = row_count(keys) <= MAX_KEYS
+    on = reduce(Column.__and__, [value.eqNullSafe(F.col(name)) for value, name in zip(found, names, strict=True)])
+    return docs.join(F.broadcast(keys) if few else keys, on, how)
+
+
+def drop_rows(docs: DataFrame, keys: DataFrame, found: list[Column]) -> DataFrame:
+    """The rows of docs whose values of found, nulls included, are not a row of keys; columns of docs may have any names.
+
+    Up to MAX_KEYS keys come to where the rows lie; beyond that the rows are
+    shuffled once. Either way gives the same rows.
+    """
+    return _meet(docs, keys, found, "left_anti")
+
+
+def take_rows(docs: DataFrame, keys: DataFrame, found: list[Column]) -> DataFrame:
+    """The rows of docs that drop_rows() drops."""
+    return _meet(docs, keys, found, "left_semi")
+
+
+def one_of_each(docs: DataFrame, found: list[Column]) -> DataFrame:
+    """One row of docs for each of the different values of found."""
+    names = free_names(docs, len(found))
+    return docs.withColumns(dict(zip(names, found, strict=True))).dropDuplicates(names).drop(*names)
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """So many column names that df does not have, however they are spelt."""
+    taken, out, i = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if f"tw_{i}" not in taken:
+            out.append(f"tw_{i}")
+        i += 1
+    return out

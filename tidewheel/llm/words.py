@@ -3,7 +3,9 @@
 A word is a longest run of bytes other than space and \\t \\n \\v \\f \\r. Its
 hash is a polynomial over all its bytes, read off prefix sums, so no text is
 split into objects; a shingle's hash combines those of its words in order.
-Texts are worked on in groups of about GROUP bytes, a longer one by itself.
+Texts are worked on in groups of about GROUP bytes, small enough for a core's
+cache; a longer text is a group by itself. Hashes are read block by block of
+BLOCK bytes, so that what a long text needs beside its words is bounded.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-GROUP = 1 << 20
+GROUP, BLOCK = 1 << 17, 1 << 20
+#: Texts a group holds at most.
+MOST_TEXTS = 1 << 15
 
 _U = np.uint64
 # The multipliers of a public 64-bit mixing function, and an odd base with its inverse.
@@ -36,10 +40,12 @@ _powers = np.ones((2, 1), _U)
 
 
 def powers(n: int) -> np.ndarray:
+    """The first n powers of the base and of its inverse, n at most BLOCK + 1."""
     global _powers
     if _powers.shape[1] < n:
+        size = min(1 << (n - 1).bit_length(), BLOCK + 1)
         with np.errstate(over="ignore"):
-            _powers = np.stack([np.cumprod(np.concatenate([[_U(1)], np.full(n - 1, _U(b), _U)])) for b in (_BASE, _INVERSE)])
+            _powers = np.stack([np.cumprod(np.concatenate([[_U(1)], np.full(size - 1, _U(b), _U)])) for b in (_BASE, _INVERSE)])
     return _powers
 
 
@@ -59,13 +65,25 @@ class Texts:
         ends[inner - 1] = filled[inner - 1]
         self.word_starts, self.word_ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(offsets, self.word_starts, "right") - 1
-        self._sums = np.empty(len(raw) + 1, _U)
-        self._sums[0] = 0
-        np.cumsum(_SIGN[raw] * powers(len(raw) + 1)[0, : len(raw)], out=self._sums[1:])
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A hash of the bytes of each span."""
-        return mix((self._sums[ends] - self._sums[starts]) * powers(len(self.raw) + 1)[1, starts])
+        """A hash of the bytes of each span. Spans are sorted, disjoint and not empty."""
+        out = np.zeros(len(starts), _U)
+        for a in range(0, len(self.raw), BLOCK):
+            part = self.raw[a : a + BLOCK]
+            first, stop = np.searchsorted(ends, a, "right"), np.searchsorted(starts, a + len(part))
+            if first == stop:
+                continue
+            up, down = powers(len(part) + 1)
+            sums = np.empty(len(part) + 1, _U)
+            sums[0] = 0
+            np.cumsum(_SIGN[part] * up[: len(part)], out=sums[1:])
+            s, e = np.maximum(starts[first:stop] - a, 0), np.minimum(ends[first:stop] - a, len(part))
+            found = (sums[e] - sums[s]) * down[s]
+            if starts[first] < a:  # what a span has before this block shifts the rest of it
+                found[:1] *= _U(pow(_BASE, int(a - starts[first]), 1 << 64))
+            out[first:stop] += found
+        return mix(out)
 
     def words(self) -> np.ndarray:
         return self.hashes(self.word_starts, self.word_ends)
@@ -97,6 +115,6 @@ def in_groups(column: pa.Array) -> Iterator[tuple[int, Texts]]:
     raw = np.frombuffer(data, "u1") if data is not None else np.zeros(0, "u1")
     row = 0
     while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + GROUP, "right")) - 1)
+        stop = min(max(row + 1, int(np.searchsorted(offsets, offsets[row] + GROUP, "right")) - 1), row + MOST_TEXTS)
         yield row, Texts(raw[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row])
         row = stop
