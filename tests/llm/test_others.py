@@ -7,6 +7,8 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,33 @@ def test_nearest_neighbours(spark, n, monkeypatch):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_lengths_are_searched_apart(spark):
+    rows = [(50, [1.0, 0.0]), (51, [1.0, 0.1]), (52, [0.0, 1.0]), (100, [1.0, 0.0, 0.0]), (101, [0.5, 0.1, 0.0]), (150, [2.0]), (200, [1e300, 1e300]), (250, [5e-324, 0.0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {50: [250, 51, 200, 52], 100: [101], 200: [51, 50, 52, 250], 250: [50, 51, 200, 52]}
+
+
+def test_recall_over_many_cells(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    n, width = 100_000, 24
+    centres = rng.standard_normal((400, width))
+    x = (centres[rng.integers(0, 400, n)] + 0.25 * rng.standard_normal((n, width))).astype("f4")
+    table = pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float32()))})
+    pq.write_table(table, str(tmp_path / "v.parquet"))
+    got = {}
+    for r in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = x.astype("f8") / np.sqrt((x.astype("f8") ** 2).sum(1, keepdims=True))
+    hits = 0
+    for q in range(0, n, 50):
+        near = unit @ unit[q]
+        near[q] = -2
+        hits += len(got[q] & set(np.argpartition(-near, 5)[:5].tolist()))
+    assert len(got) == n // 50 and hits / (5 * len(got)) >= 0.95
+
+
 def test_chi_square_quantile():
     assert ann.chi_square_quantile(0.95, 8) == pytest.approx(15.5073, abs=1e-3)
 

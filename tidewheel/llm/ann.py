@@ -8,23 +8,32 @@ k-th best vector verified so far, a vector nearer than d lies within
 d * sqrt(quantile(CONFIDENCE)) in the projection with probability CONFIDENCE:
 once the next projected neighbour is farther than that, the search stops.
 
-The projected space is cut into cells by a kd-tree fitted on at most
-SAMPLE rows (those of smallest hashed id); every row is indexed. A cell that
-holds many rows is dealt over blocks. Each block builds a kd-tree of its own
-and hands out its leaves in the order of their projected distance; what lies
-in them is verified on the original vectors until the test holds. A query
-first searches the cell it lies in, which yields its d, and then, in a second
-round, only the cells whose box the test does not rule out.
+The projected space is cut into cells by a kd-tree fitted on a bounded sample
+(at least SAMPLE rows, those of smallest hashed id, or four a cell); every row
+is indexed. Cells hold about CELL rows; beyond MANY_CELLS their number grows
+with the root of the rows, as the driver holds a box for each. A cell that
+holds more is dealt over blocks. Each block builds one kd-tree of its own and
+hands out its leaves in the order of their projected distance; what lies in
+them is verified on the original vectors until the test holds. A query first
+searches the cell it lies in, which yields its d, and then, in a second round,
+only the cells whose box the test does not rule out. Vectors move once a
+round; only where more than QUERY_BLOCK queries ask one block is it copied,
+once for each so many of them.
+
+How much is pruned hangs on the data: where the nearest are hardly nearer than
+the rest, as with random directions, the test rules out little, and most
+vectors are verified (README).
 
 Equal vectors are one vector with the K + 1 smallest ids, which is all that a
 list of K can show of them: a vector that very many rows share is no hot spot.
+They are told by a 128-bit hash, so that no vector moves to be compared.
 
 Edge cases. Vectors that are null, zero, or hold null or non-finite numbers
-take no part, as query or candidate; nor do those of another length than most
-have (of equally many, the shorter). Rows that repeat id and vector count
-once. Fewer candidates than K give a shorter list. Ties go to the smaller id.
-A null id takes no part. An empty table gives an empty table. Further columns
-are ignored.
+take no part, as query or candidate. Vectors of different lengths are tables
+of their own. Rows that repeat id and vector count once. Fewer candidates than
+K give a shorter list. Ties go to the smaller id. A null id takes no part. An
+empty table gives an empty table. Further columns are ignored, whatever they
+are called. Long vectors make blocks of more bytes, not more rows.
 """
 
 from __future__ import annotations
@@ -39,15 +48,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import MAX_KEYS, drop_rows, row_count, settle
 
 K = 5
 M = 8
-CONFIDENCE = 0.995
+CONFIDENCE = 0.97
 SAMPLE = 20_000
-CELL, MAX_CELLS = 4096, 4096
+CELL, MANY_CELLS = 4096, 4096
 LEAF = 256
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 16_384
 SALTS = 64
 SEED = 7
 
@@ -141,28 +150,43 @@ def _search(tree: Tree, projected: np.ndarray, vectors: np.ndarray, q_projected:
     return rows[keep], squares[keep]
 
 
+RESULT = "query_id bigint, rank int, vec_id bigint, score double"
+
+
 def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest others of each row for which queries is true."""
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     plain = plain.where(F.col("id").isNotNull() & F.col("v").isNotNull()).where(fine)
-    sizes = plain.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    if not sizes:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    width = sizes[0]["d"]
-    plain = settle(plain.where(F.size("v") == width))
-    # equal vectors become one, with the smallest ids: first by salt, then over the salts
-    least = lambda *keys: Window.partitionBy(*keys).orderBy("id")
-    salted = plain.select("id", "v").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).dropDuplicates(["id", "v"])
-    few = salted.withColumn("r", F.row_number().over(least("v", "salt"))).where(F.col("r") <= k + 1)
-    few = few.withColumn("r", F.row_number().over(least("v"))).where(F.col("r") <= k + 1)
-    base = settle(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))  # k + 1 ids at most
-    n = base.count()
-
+    plain = settle(plain.select("*", F.size("v").alias("d"), F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("h2")))
+    out = vectors.sparkSession.createDataFrame([], RESULT)
+    for row in plain.groupBy("d").agg(F.count(F.lit(1)).alias("n")).orderBy("d").collect():  # a search for each length of vectors, of which models make few
+        out = out.unionByName(_search_width(plain.where(F.col("d") == row["d"]), row["d"], k, confidence, seed))
+    return out
+
+
+def _different(plain: DataFrame, k: int) -> DataFrame:
+    """ids (the k + 1 smallest, sorted) and v of each different vector. plain: id, v, h, h2."""
+    key = ["h", "h2"]
+    shared = settle(plain.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
+    alone = drop_rows(plain, shared, [F.col("h"), F.col("h2")]).select(F.array("id").alias("ids"), "v")
+    few = F.broadcast(shared) if row_count(shared) <= MAX_KEYS else shared
+    # first by salt, then over the salts
+    least = lambda *by: Window.partitionBy(*by).orderBy("id")
+    mates = plain.join(few, key, "left_semi").select("id", *key).distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    mates = mates.withColumn("r", F.row_number().over(least(*key, "salt"))).where(F.col("r") <= k + 1)
+    mates = mates.withColumn("r", F.row_number().over(least(*key))).where(F.col("r") <= k + 1)
+    groups = mates.groupBy(*key).agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.element_at("ids", 1))  # k + 1 ids at most
+    return alone.unionByName(plain.join(groups, ["id", *key]).dropDuplicates(key).select("ids", "v"))
+
+
+def _search_width(plain: DataFrame, width: int, k: int, confidence: float, seed: int) -> DataFrame:
+    base = settle(_different(plain, k).select("ids", "v"))
+    n = row_count(base)
     matrix = np.random.default_rng(seed).standard_normal((width, M))
-    sample = base.orderBy(F.xxhash64(F.col("ids")[0], F.lit(seed))).limit(SAMPLE).select("v").toArrow()
+    wanted = max(1, min(n // CELL, int((MANY_CELLS * n / CELL) ** 0.5)))
+    sample = base.orderBy(F.xxhash64(F.col("ids")[0], F.lit(seed))).limit(max(SAMPLE, 4 * wanted)).select("v").toArrow()
     points = unit(np.asarray(sample["v"].combine_chunks().values).reshape(-1, width)) @ matrix
-    wanted = min(MAX_CELLS, max(1, n // CELL))
     top = Tree(points, max(1, len(points) // wanted))
     cells = len(top.low)
 
@@ -195,14 +219,13 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
 
     found = placed.select("v", "cell").mapInArrow(boxes, "cell int, side int, low double, high double, n bigint")
     low, high, held = np.full((cells, M), np.inf), np.full((cells, M), -np.inf), np.zeros(cells, "i8")
-    for r in found.groupBy("cell", "side").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect():  # MAX_CELLS x M rows at most
+    for r in found.groupBy("cell", "side").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")).collect():  # cells x M rows
         low[r["cell"], r["side"]], high[r["cell"], r["side"]], held[r["cell"]] = r["low"], r["high"], r["n"]
     blocks = -(-held // (2 * CELL))
     full = np.flatnonzero(held > 0)
     factor = chi_square_quantile(confidence)
 
-    asked = plain.where("asks").select("id", "v").dropDuplicates(["id", "v"])
-    rounds = -(-asked.count() // QUERY_BLOCK) or 1
+    asked = settle(plain.where("asks").dropDuplicates(["id", "h", "h2"]).select("id", "v"))
 
     def send(home_only: bool):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +248,6 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
         return work
 
     spread = placed.withColumn("block", F.pmod(F.xxhash64("v"), F.element_at(F.lit([max(1, int(b)) for b in blocks]), F.col("cell") + 1)).cast("int"))
-    spread = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
 
     def within(mine: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -245,9 +267,15 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "i8", "vec_id": "i8", "score": "f8"})
 
     def ask(targets: DataFrame) -> DataFrame:
-        targets = targets.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(rounds)).cast("int"))
+        targets = settle(targets)
+        asks = targets.groupBy("cell", "block").agg(F.count(F.lit(1)).alias("n"))
+        asks = settle(asks.select("cell", "block", F.ceil(F.col("n") / QUERY_BLOCK).cast("int").alias("salts")))  # one row a block
         keys = ["cell", "block", "salt"]
-        got = spread.groupBy(*keys).cogroup(targets.groupBy(*keys)).applyInPandas(within, "query_id bigint, vec_id bigint, score double")
+        split = targets.join(F.broadcast(asks.where("salts > 1")), ["cell", "block"], "left")
+        split = split.withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        # blocks that nothing asks for do not move
+        met = spread.join(F.broadcast(asks), ["cell", "block"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+        got = met.groupBy(*keys).cogroup(split.groupBy(*keys)).applyInPandas(within, "query_id bigint, vec_id bigint, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return got.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
