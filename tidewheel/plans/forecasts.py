@@ -194,17 +194,17 @@ def model_backtest(spark, d):
 
 @query("rf_forecast")
 def rf_forecast(spark, d):
-    return L.fit_trees(_panel(spark, d), L.forest(numTrees=20))[1]
+    return L.fit_trees(_panel(spark, d), L.forest())[1]
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
-    return L.fit_trees(_panel(spark, d), L.boosting(maxIter=20))[1]
+    return L.fit_trees(_panel(spark, d), L.boosting())[1]
 
 
 @query("feature_importance")
 def feature_importance(spark, d):
-    model, _, names = L.fit_trees(_panel(spark, d), L.forest(numTrees=20))
+    model, _, names = L.fit_trees(_panel(spark, d), L.forest())
     return spark.createDataFrame(L.importances(model, names), "feature string, importance double")
 
 

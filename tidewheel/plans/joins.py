@@ -180,6 +180,6 @@ def exogenous_profile(spark, d):
     return X.exogenous_profile(src.sales_panel(spark, d).join(x, "ds"), ["pr"]).select("unique_id", "ds", "pr_pct_change", "pr_lag_6", "pr_ma_12", "pr_std_3")
 
 
-@query("full_join_aligned", f"WITH {TOTAL} SELECT {r('y', 'y')}, {r('0.0', 'missing')}, month(ds)::INT AS month FROM t")
+@query("full_join_aligned", f"WITH {TOTAL} SELECT {r('y', 'y')}, {r('0.0::DOUBLE', 'missing')}, month(ds)::INT AS month FROM t")
 def full_join_aligned(spark, d):
     return H.align(src.total_panel(spark, d).withColumn("month", F.month("ds")), ["y", "missing", "month"])
