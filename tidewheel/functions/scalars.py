@@ -111,8 +111,22 @@ def fourier(ds: Column) -> dict[str, Column]:
     }
 
 
-#: Keywords of a category's name and the flag they set; the first that fits counts.
-CATEGORY_WORDS = {"electronics": ["electronic", "computer"], "clothing": ["clothing", "apparel", "cloth"], "home": ["home", "furniture", "building"], "auto": ["auto", "motor", "gas"], "food": ["food", "beverage", "grocery"]}
+# Keywords of a category's name and the flag they set; the first that fits counts.
+CATEGORY_WORDS = {
+    "electronics": ["electronic", "computer", "tech", "appliance"],
+    "clothing": ["clothing", "apparel", "cloth", "fashion"],
+    "home": ["home", "garden", "furniture", "building"],
+    "auto": ["auto", "car", "motor", "gas"],
+    "food": ["food", "beverage", "grocery", "restaurant"],
+}
+# Months in which a flag is set for a family of categories.
+CATEGORY_SEASONS = {
+    "electronics": {"tech_launch_season": [9, 10, 11], "is_super_bowl_month": [2]},
+    "clothing": {"fashion_season": [2, 3, 4, 5], "is_swim_season": [5, 6, 7, 8], "is_coat_season": [1, 2, 10, 11, 12]},
+    "home": {"spring_home_improvement": [3, 4, 5], "summer_garden_season": [5, 6, 7, 8], "fall_home_prep": [9, 10, 11]},
+    "auto": {"summer_driving_season": [6, 7, 8], "is_tax_return_season": [3, 4]},
+    "food": {"holiday_dining": [11, 12], "summer_bbq_season": [5, 6, 7, 8, 9]},
+}
 
 
 def category_kind(name: Column) -> Column:
@@ -124,3 +138,32 @@ def category_kind(name: Column) -> Column:
             hit = hit | F.lower(name).contains(word)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("other")
+
+
+def category_seasons(name: Column, ds: Column) -> dict[str, Column]:
+    """Flags that are 1 in the months that matter to the family of a category."""
+    kind, month = category_kind(name), F.month(ds)
+    return {flag: ((kind == family) & month.isin(months)).cast("int") for family, flags in CATEGORY_SEASONS.items() for flag, months in flags.items()}
+
+
+def holidays(ds: Column) -> dict[str, Column]:
+    """Holidays of a date by rule: fixed days, n-th weekdays, and Easter Sunday."""
+    y, m, day, weekday = F.year(ds), F.month(ds), F.day(ds), F.weekday(ds)
+    nth = lambda month, wd, n: (m == month) & (weekday == wd) & (F.ceil(day / 7) == n)
+    # Easter by the anonymous Gregorian rule
+    a, b, c = y % 19, F.floor(y / 100), y % 100
+    h = (19 * a + b - F.floor(b / 4) - F.floor((b - F.floor((b + 8) / 25) + 1) / 3) + 15) % 30
+    k = (32 + 2 * (b % 4) + 2 * F.floor(c / 4) - h - c % 4) % 7
+    n = h + k - 7 * F.floor((a + 11 * h + 22 * k) / 451) + 114
+    easter = F.make_date(y, F.floor(n / 31).cast("int"), (n % 31 + 1).cast("int"))
+    flags = {
+        "new_year": (m == 1) & (day == 1),
+        "memorial_day": (m == 5) & (weekday == 0) & (day > 24),
+        "independence_day": (m == 7) & (day == 4),
+        "labor_day": nth(9, 0, 1),
+        "thanksgiving": nth(11, 3, 4),
+        "black_friday": (m == 11) & (weekday == 4) & day.between(23, 29),
+        "christmas": (m == 12) & (day == 25),
+        "easter": F.to_date(ds) == easter,
+    }
+    return {f"is_{name}": flag.cast("int") for name, flag in flags.items()}

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.scalars import calendar, category_kind, fourier, growth_band, safe_div
+from ..functions.scalars import calendar, category_kind, category_seasons, fourier, growth_band, safe_div
 from .reshape import month_dummies
 from .windows import diff, enough, forward_fill, lag, log_change, over_time, pct_change, rolling, rolling_rank, total_rank, zscore
 
@@ -66,7 +66,7 @@ def model_profile(panel: DataFrame, y: str = "y", shift: int = 1) -> DataFrame:
     turn = 2 * math.pi
     out = out.withColumns({"cycle_proxy": F.sin(turn * F.col("year") / 10), "confidence_proxy": 0.3 * F.sin(turn * F.col("day_of_year") / 365.25) + 1})
     kind = category_kind(F.col("unique_id"))
-    out = out.withColumns({f"is_{k}": (kind == k).cast("int") for k in ("electronics", "clothing", "home", "auto", "food")})
+    out = out.withColumns({f"is_{k}": (kind == k).cast("int") for k in ("electronics", "clothing", "home", "auto", "food")} | category_seasons(F.col("unique_id"), F.col("ds")))
     out = out.withColumns({f"lag_{n}": enough(lag(x, n, over_time()), n, keys) for n in (1, 2, 3, 6, 12)} | {"yoy_lag_1": lag(x, 12, over_time()), "yoy_lag_2": lag(x, 24, over_time())})
     past = lag(x, shift, over_time()) if shift else x
     out = out.withColumn("_p", past)
@@ -87,6 +87,16 @@ def store_profile(panel: DataFrame, y: str = "y") -> DataFrame:
     return out.withColumns({"seasonal_component": F.avg(x).over(Window.partitionBy("unique_id", F.month("ds"))), "trend": rolling(F.avg, x, 12, over_time(), 1)})
 
 
+def wide_features(long: DataFrame, ids: list[str], id_col: str = "series_id", time: str = "ds", value: str = "value") -> DataFrame:
+    """One row a month, ID_FEATURE columns: lags 1, 3, 6, 12, means 3, 6, 12, changes 1, 12 and volatility 3, 12 of each of ids. Windows by series, one pivot."""
+    w, x = over_time(id_col, time), F.col(value)
+    out = long.where(F.col(id_col).isin(ids)).withColumn("pct_1", pct_change(x, 1, w))
+    named = {f"lag_{n}": lag(x, n, w) for n in (1, 3, 6, 12)} | {f"ma_{n}": rolling(F.avg, x, n, w, 1) for n in (3, 6, 12)} | {"pct_12": pct_change(x, 12, w)} | {f"vol_{n}": rolling(F.stddev_samp, F.col("pct_1"), n, w, 2) for n in (3, 12)}
+    out = out.withColumns(named)
+    names = ["pct_1", *named]
+    return out.groupBy(time).pivot(id_col, ids).agg(F.first(value).alias("value"), *[F.first(n).alias(n) for n in names])
+
+
 def exogenous_profile(panel: DataFrame, columns: list[str], steps: list[int] = (1, 3, 6, 12)) -> DataFrame:
     """Changes, lags, means and deviations of each exogenous column."""
     for c in columns:

@@ -9,6 +9,7 @@ the yearly difference on its own lags 1, 2 and 12.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable
 from typing import Protocol
 
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .features import model_profile
 from .forecast import folds, horizon
+from .windows import over_time
 
 SEASON = 12
 
@@ -70,7 +72,7 @@ def ar(y: np.ndarray, h: int) -> np.ndarray:
 
 
 MODELS: dict[str, Forecaster] = {"ets": ets, "ar": ar}
-_OUT = "unique_id string, fold int, model string, step int, yhat double, status string"
+_OUT = "unique_id string, fold int, model string, step int, yhat double, status string, seconds double"
 
 
 def _fit_groups(models: dict[str, Forecaster], h: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -78,12 +80,14 @@ def _fit_groups(models: dict[str, Forecaster], h: int) -> Callable[[pd.DataFrame
         y = part.sort_values("ds")["y"].to_numpy("f8")
         out = []
         for name, model in models.items():
+            began = time.perf_counter()
             try:
                 values, status = model(y[~np.isnan(y)], h), "ok"
             except ValueError as why:
                 values, status = [None] * h, str(why)
-            out += [(part["unique_id"].iloc[0], int(part["fold"].iloc[0]), name, k + 1, v, status) for k, v in enumerate(values)]
-        return pd.DataFrame(out, columns=["unique_id", "fold", "model", "step", "yhat", "status"]).astype({"yhat": "f8"})
+            took = time.perf_counter() - began
+            out += [(part["unique_id"].iloc[0], int(part["fold"].iloc[0]), name, k + 1, v, status, took) for k, v in enumerate(values)]
+        return pd.DataFrame(out, columns=["unique_id", "fold", "model", "step", "yhat", "status", "seconds"]).astype({"yhat": "f8"})
 
     return work
 
@@ -98,7 +102,14 @@ def backtest_models(panel: DataFrame, k: int = 5, h: int = 12, models: dict[str,
     """unique_id, model, fold, step, ds, y, yhat, status: every fold of every series is a task of its own."""
     rows = folds(panel, k, h)
     got = rows.where(~F.col("is_test")).select("unique_id", "fold", "ds", "y").groupBy("unique_id", "fold").applyInPandas(_fit_groups(models or MODELS, h), _OUT)
-    return rows.where("is_test").select("unique_id", "fold", "step", "ds", "y").join(got, ["unique_id", "fold", "step"])
+    return rows.where("is_test").select("unique_id", "fold", "step", "ds", "y").join(got, ["unique_id", "fold", "step"]).drop("seconds")
+
+
+def model_times(panel: DataFrame, k: int = 5, h: int = 12, models: dict[str, Forecaster] | None = None) -> DataFrame:
+    """model, n_fits, seconds: how often each model was fitted in a backtest, and the time of all its fits."""
+    rows = folds(panel, k, h)
+    got = rows.where(~F.col("is_test")).select("unique_id", "fold", "ds", "y").groupBy("unique_id", "fold").applyInPandas(_fit_groups(models or MODELS, h), _OUT)
+    return got.where("step = 1").groupBy("model").agg(F.count(F.lit(1)).alias("n_fits"), F.sum("seconds").alias("seconds"))
 
 
 def feature_matrix(panel: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -128,6 +139,35 @@ def fit_trees(panel: DataFrame, regressor: RandomForestRegressor | GBTRegressor,
     return model, model.transform(wide.where("ds > cut")).select("unique_id", "ds", F.col("label").alias("y"), F.col("prediction").alias("yhat")), names
 
 
+def _split_data(wide: DataFrame, names: list[str], regressor: RandomForestRegressor | GBTRegressor, rows: DataFrame) -> DataFrame:
+    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor]).fit(rows)
+    return model.transform(wide)
+
+
+def tree_forecast(panel: DataFrame, regressor: RandomForestRegressor | GBTRegressor, h: int = 12) -> DataFrame:
+    """unique_id, step, ds, yhat of the h months after each series: one direct model for all steps, the step a feature.
+
+    A row of history is an example for each step whose month it has; nothing is fed back, so errors do not pile up.
+    """
+    wide, names = feature_matrix(panel)
+    w = over_time()
+    # what comes, and the newest value known of the same month of a year before
+    pairs = [F.struct(F.lead("label", s).over(w).alias("target"), F.lag("label", -s % SEASON).over(w).alias("anchor")) for s in range(1, h + 1)]
+    rows = wide.withColumn("ahead", F.array(*pairs)).withColumn("is_last", F.lead("ds").over(w).isNull())
+    rows = rows.select("unique_id", "ds", "is_last", *names, F.posexplode("ahead").alias("s", "x")).withColumn("step", F.col("s") + 1)
+    rows = rows.withColumns({"target": F.col("x.target"), "anchor": F.coalesce("x.anchor", F.lit(0.0)), "target_month": F.month(F.add_months("ds", F.col("step")))}).drop("x")
+    known = rows.where("target is not null").withColumn("label", F.col("target"))
+    got = _split_data(rows.where("is_last"), [*names, "step", "anchor", "target_month"], regressor, known)
+    return got.select("unique_id", "step", F.last_day(F.add_months("ds", F.col("step"))).alias("ds"), F.col("prediction").alias("yhat"))
+
+
+def in_sample(panel: DataFrame, regressor: RandomForestRegressor | GBTRegressor, pad: int = 24) -> DataFrame:
+    """unique_id, ds, y, yhat, padded: the fit of each month from the months before it; the first pad months of a series repeat y."""
+    wide, names = feature_matrix(panel)
+    got = _split_data(wide.withColumn("rn", F.row_number().over(over_time())), names, regressor, wide.where("label is not null"))
+    return got.select("unique_id", "ds", F.col("label").alias("y"), F.when(F.col("rn") <= pad, F.col("label")).otherwise(F.col("prediction")).alias("yhat"), (F.col("rn") <= pad).alias("padded"))
+
+
 def importances(model: PipelineModel, names: list[str], n: int = 15) -> list[tuple[str, float]]:
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(names, map(float, values), strict=True), key=lambda x: (-x[1], x[0]))[:n]
@@ -146,17 +186,9 @@ def grid_search(tries: Iterable[dict], score: Callable[[dict], float], patience:
 
 
 def stationarity(panel: DataFrame) -> DataFrame:
-    """unique_id, statistic: the Dickey-Fuller t of each series with a constant (below -2.89: stationary at 5 percent)."""
-
-    def work(part: pd.DataFrame) -> pd.DataFrame:
-        y = part.sort_values("ds")["y"].dropna().to_numpy("f8")
-        value = None
-        if len(y) > 4:
-            x, d = np.column_stack([np.ones(len(y) - 1), y[:-1]]), np.diff(y)
-            beta = np.linalg.lstsq(x, d, rcond=None)[0]
-            rest = d - x @ beta
-            spread = rest @ rest / (len(d) - 2) * np.linalg.pinv(x.T @ x)[1, 1]
-            value = float(beta[1] / np.sqrt(spread)) if spread > 0 else None
-        return pd.DataFrame({"unique_id": [part["unique_id"].iloc[0]], "statistic": [value]}).astype({"statistic": "f8"})
-
-    return panel.select("unique_id", "ds", "y").groupBy("unique_id").applyInPandas(work, "unique_id string, statistic double")
+    """unique_id, statistic: the Dickey-Fuller t of each series with a constant (below -2.89: stationary at 5 percent); null below five values."""
+    w = over_time()
+    rows = panel.where("y is not null").withColumn("x", F.lag("y").over(w)).withColumn("d", F.col("y") - F.col("x"))
+    sums = rows.groupBy("unique_id").agg(F.regr_sxx("d", "x").alias("xx"), F.regr_syy("d", "x").alias("yy"), F.regr_sxy("d", "x").alias("xy"), F.count("x").alias("n"))
+    spread = (F.col("yy") - F.col("xy") * F.col("xy") / F.col("xx")) / (F.col("n") - 2) / F.col("xx")
+    return sums.select("unique_id", F.when((F.col("n") > 3) & (spread > 0), F.col("xy") / F.col("xx") / F.sqrt(spread)).alias("statistic"))

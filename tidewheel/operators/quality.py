@@ -118,3 +118,40 @@ def target_encoding(panel: DataFrame) -> DataFrame:
     """The mean of all earlier values of the same month: no row sees itself or the future."""
     w = Window.partitionBy("unique_id", F.month("ds")).orderBy("ds").rowsBetween(Window.unboundedPreceding, -1)
     return panel.withColumn("month_mean_before", F.avg("y").over(w))
+
+
+def panel_report(panel: DataFrame, y: str = "y") -> DataFrame:
+    """One row a series, and one, 'all', of totals: rows, range, nulls, their ratio, and the rows and ratio of an average series."""
+    of = lambda: [F.count(F.lit(1)).alias("n_rows"), F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count_if(F.col(y).isNull()).alias("n_nulls")]
+    each = panel.groupBy("unique_id").agg(*of()).withColumn("null_ratio", F.col("n_nulls") / F.col("n_rows"))
+    # from the rows by series, so that the panel is read once
+    whole = each.agg(F.sum("n_rows").alias("n_rows"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), F.sum("n_nulls").alias("n_nulls"), F.avg("n_rows").alias("mean_rows"), F.avg("null_ratio").alias("null_ratio"), F.count(F.lit(1)).alias("n_series"))
+    return each.withColumns({"mean_rows": F.lit(None).cast("double"), "n_series": F.lit(1).cast("long")}).unionByName(whole.withColumn("unique_id", F.lit("all")))
+
+
+def missing_rule(rows: DataFrame, expected: DataFrame, key: str, y: str) -> DataFrame:
+    """key, n_nulls, expected, ok: nulls of each key against as many as are expected (none where nothing is said). expected: key, expected."""
+    found = rows.groupBy(key).agg(F.count_if(F.col(y).isNull()).alias("n_nulls"))
+    return found.join(expected, key, "left").withColumn("expected", F.coalesce("expected", F.lit(0)).cast("long")).withColumn("ok", F.col("n_nulls") <= F.col("expected"))
+
+
+def uncorrelated(table: DataFrame, columns: list[str], most: float = 0.95) -> list[str]:
+    """The columns that are left if of two that correlate more than that the later goes. One row of statistics comes to the driver."""
+    high = {(r["a"], r["b"]) for r in correlations(table, columns).where(F.abs("corr") > most).collect()}
+    kept: list[str] = []
+    for c in columns:
+        if not any((k, c) in high for k in kept):
+            kept.append(c)
+    return kept
+
+
+def recession(rates: DataFrame, time: str = "ds", value: str = "value", rise: float = 0.5) -> DataFrame:
+    """rates (one row a month) with flag: the three-month mean of unemployment stands rise points or more over its least of the year before."""
+    w = Window.orderBy(time)  # one row a month: a few hundred rows, whatever the corpus
+    mean = rates.withColumn("_m", F.avg(value).over(w.rowsBetween(-2, 0)))
+    return mean.withColumn("flag", F.coalesce(F.col("_m") - F.min("_m").over(w.rowsBetween(-12, -1)) >= rise, F.lit(False)).cast("int")).drop("_m")
+
+
+def yield_curve(long: F.Column, short: F.Column) -> dict[str, F.Column]:
+    """Slope of the curve and whether it is inverted."""
+    return {"slope": long - short, "inverted": (long < short).cast("int")}

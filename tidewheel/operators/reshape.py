@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: The unit of time that as_of() cuts the rows of a key by.
+BUCKET = "day"
+
+
 def wide(long: DataFrame, name_col: str, value_col: str, names: list[str], keys: list[str] = ("ds",), prefix: str = "") -> DataFrame:
     """One column for each of names (given, so that no job is run to find them); of several values the smallest."""
     out = long.where(F.col(value_col).isNotNull()).groupBy(*keys).pivot(name_col, list(names)).agg(F.min(value_col))
@@ -34,13 +38,26 @@ def in_intervals(rows: DataFrame, time: str, spikes: DataFrame, spike_time: str,
 
 
 def as_of(left: DataFrame, right: DataFrame, time: str, keys: list[str], value_cols: list[str]) -> DataFrame:
-    """left with the last values of right at or before its time: union and carry forward, no range join."""
+    """left with the last values of right at or before its time: union and carry forward, no range join.
+
+    A key's rows are carried inside buckets of time (BUCKET), and
+    from bucket to bucket by the last values of each; so a hot key is as many
+    tasks as it has buckets.
+    """
+    bucket = F.date_trunc(BUCKET, F.col(time).cast("timestamp"))
     one = left.withColumn("_from", F.lit(1)).withColumns({f"_r_{c}": F.lit(None).cast(right.schema[c].dataType) for c in value_cols})
     two = right.select(*keys, time, *[F.col(c).alias(f"_r_{c}") for c in value_cols], F.lit(0).alias("_from"))
-    w = Window.partitionBy(*keys).orderBy(time, "_from").rowsBetween(Window.unboundedPreceding, 0)
-    both = one.unionByName(two, allowMissingColumns=True)
-    carried = both.withColumns({c: F.last(f"_r_{c}", ignorenulls=True).over(w) for c in value_cols})
-    return carried.where("_from = 1").select(*left.columns, *value_cols)
+    both = one.unionByName(two, allowMissingColumns=True).withColumn("_b", bucket)
+    inside = Window.partitionBy(*keys, "_b").orderBy(time, "_from").rowsBetween(Window.unboundedPreceding, 0)
+    # one row for each key and bucket: the last values in it, then those of all before it
+    filled = lambda c: F.when(F.col(f"_r_{c}").isNotNull(), F.col(time))
+    ends = both.groupBy(*keys, "_b").agg(*[F.max_by(f"_r_{c}", filled(c)).alias(f"_e_{c}") for c in value_cols])
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *[F.last(f"_e_{c}", ignorenulls=True).over(before).alias(f"_e_{c}") for c in value_cols])
+    carried = both.withColumns({c: F.last(f"_r_{c}", ignorenulls=True).over(inside) for c in value_cols}).where("_from = 1")
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_b").eqNullSafe(F.col("_kb")))
+    met = carried.join(ends, same, "left")
+    return met.select(*left.columns, *[F.coalesce(c, f"_e_{c}").alias(c) for c in value_cols])
 
 
 def month_dummies(ds: Column) -> dict[str, Column]:

@@ -176,7 +176,7 @@ def seasonal_path(spark, d):
     return G.seasonal_path(p, p.groupBy("unique_id").agg(F.avg("y").alias("base"))).withColumn("yhat", F.round("yhat", 3))
 
 
-# fitted models: rows only, compared with plain code in the tests
+# fitted models: rows only; the tests hold ar and ets against plain code, trees against last year's months
 @query("ets_forecast")
 def ets_forecast(spark, d):
     return L.forecast_models(_panel(spark, d), 12, {"ets": L.ets})

@@ -8,6 +8,7 @@ fails the task, which Spark itself tries again elsewhere.
 from __future__ import annotations
 
 import importlib
+import json
 import time
 from collections.abc import Iterator
 
@@ -21,7 +22,8 @@ class Slice(InputPartition):
 
 class PayloadReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.keys = [k for k in options.get("keys", "").split(",") if k]
+        keys = options.get("keys", "")
+        self.keys = json.loads(keys) if keys.startswith("[") else [k for k in keys.split(",") if k]
         self.fetcher, self.tries, self.wait = options["fetcher"], int(options.get("tries", "3")), float(options.get("wait", "0.1"))
 
     def partitions(self) -> list[Slice]:
@@ -41,7 +43,7 @@ class PayloadReader(DataSourceReader):
 
 
 class PayloadSource(DataSource):
-    """spark.dataSource.register(PayloadSource); spark.read.format("payloads").option("keys", "2023,2024").option("fetcher", "my.module.fetch").load()"""
+    """spark.dataSource.register(PayloadSource); spark.read.format("payloads").option("keys", "2023,2024").option("fetcher", "my.module.fetch").load(); keys that hold commas, such as addresses, as a JSON list"""
 
     @classmethod
     def name(cls) -> str:

@@ -110,3 +110,9 @@ def between(df: DataFrame, start: str | None = None, end: str | None = None, kin
     for c in conds:
         df = df.where(c)
     return df
+
+
+def file_ages(spark: SparkSession, path: str, days: float = 1.0) -> DataFrame:
+    """path, changed, is_old of each file under a path: whether it was last written more than so many days ago."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("modificationTime").alias("changed"))
+    return files.withColumn("is_old", F.col("changed") < F.current_timestamp() - F.make_dt_interval(secs=F.lit(days * 86400.0)))
