@@ -26,6 +26,8 @@ from .forecast import folds, horizon
 from .windows import over_time
 
 SEASON = 12
+#: Rows of a training table that a task reads at least.
+ROWS_A_TASK = 20_000
 
 
 class Forecaster(Protocol):
@@ -131,16 +133,22 @@ def fit_trees(panel: DataFrame, regressor: RandomForestRegressor | GBTRegressor,
     """The model fitted on all series before their last held months, and unique_id, ds, y, yhat of those months."""
     wide, names = feature_matrix(panel)
     cut = wide.groupBy("unique_id").agg(F.add_months(F.max("ds"), -held).alias("cut"))
-    wide = wide.join(cut, "unique_id").cache()
+    kept = wide.join(cut, "unique_id").cache()
+    # every round of a tree ensemble is a job or more: no more tasks than the rows are worth
+    wide = kept.coalesce(kept.count() // ROWS_A_TASK + 1)
     try:
         model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor]).fit(wide.where("ds <= cut"))
     finally:
-        wide.unpersist()
+        kept.unpersist()
     return model, model.transform(wide.where("ds > cut")).select("unique_id", "ds", F.col("label").alias("y"), F.col("prediction").alias("yhat")), names
 
 
 def _split_data(wide: DataFrame, names: list[str], regressor: RandomForestRegressor | GBTRegressor, rows: DataFrame) -> DataFrame:
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor]).fit(rows)
+    kept = rows.cache()
+    try:
+        model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), regressor]).fit(kept.coalesce(kept.count() // ROWS_A_TASK + 1))
+    finally:
+        kept.unpersist()
     return model.transform(wide)
 
 
