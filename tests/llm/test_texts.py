@@ -2,11 +2,15 @@
 
 import itertools
 import re
+import tracemalloc
+import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import tokenizers
 
 from tidewheel.llm import components as components_
 from tidewheel.llm import common, line_dedup, ngram_join, perplexity, surrogates, words
@@ -117,10 +121,12 @@ def test_odd_rows_pass_the_join(odd):
     assert ngram_join.similar_groups(odd.limit(0)).count() == 0
 
 
-def test_blocks_find_what_one_piece_finds(spark, monkeypatch):
-    base = [f"v{i}" for i in range(80)]
-    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)]
+@pytest.mark.parametrize("few", [16, 1])
+def test_blocks_find_what_one_piece_finds(spark, monkeypatch, few):
+    base, other = [f"v{i}" for i in range(80)], [f"u{i}" for i in range(90)]
+    rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)] + [(100 + k, " ".join(other[k : k + 60])) for k in range(30)]  # a star and a chain
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_links(rows)
 
@@ -190,24 +196,26 @@ def brute_kneser_ney(texts, order=3):
     return brute_levels(texts, order)[2][-1]
 
 
-def brute_log_ppl(texts, order):
+def brute_log_ppl(texts, order, copies=None):
     """Of each text by letter, its own counts and its copies' left out of the highest order."""
+    copies = copies or [texts.count(t) for t in texts]
     counts, cut, told = brute_levels(texts, order)
     followers = {}
     for g in counts:
         followers.setdefault(g[:-1], []).append(g)
     out = []
-    for t in texts:
+    for t, n in zip(texts, copies, strict=True):
         data = b"\0" * (order - 1) + t
-        own, copies = Counter(data[i - order : i] for i in range(order, len(data) + 1)), texts.count(t)
-        left = lambda g: max(counts[g] - copies * own[g], 0)  # noqa: E731, B023
+        own = Counter(data[i - order : i] for i in range(order, len(data) + 1))
+        left = lambda g: max(counts[g] - n * own[g], 0)  # noqa: E731, B023
         total = 0.0
         for g, times in own.items():
             every = sum(left(x) for x in followers[g[:-1]])
             lost = sum(cut[min(left(x), 3)] for x in followers[g[:-1]])
             q = told[-2][g[1:]]
             total -= times * np.log((left(g) - cut[min(left(g), 3)]) / every + lost / every * q if every else q)
-        out.append(float(total / sum(chr(c).isascii() and chr(c).isalnum() or c >= 128 for c in t)))
+        letters = sum(chr(c).isascii() and chr(c).isalnum() or c >= 128 for c in t)
+        out.append(float(total / letters) if letters else np.inf)
     return out
 
 
@@ -236,6 +244,45 @@ def prose(rng, n, words=60):
     return [" ".join(map(str, rng.choice(vocabulary, words))) for _ in range(n)]
 
 
+def brute_quality(rows, reach=3.0, least=50):
+    """rows: (id, text, lang), ids different. The ids that stay."""
+    marks, log_ppl, good = {}, {}, []
+    for i, t, _ in rows:
+        (_, g), = words.in_groups(pa.array([t]))
+        marks[i] = int(perplexity._mark(g.words(), g.doc, 1)[0])
+    often = Counter(m for m in marks.values() if m)
+    for lang in {x for *_, x in rows}:
+        own = [(i, t or "") for i, t, x in rows if x == lang]
+        values = brute_log_ppl([t.encode() for _, t in own], perplexity.ORDER, [often.get(marks[i], 1) for i, _ in own])
+        log_ppl |= {i: v for (i, _), v in zip(own, values, strict=True)}
+    for i, t, x in rows:
+        n, *_, repeat = brute_measures(t)
+        if n >= 50 and 100 * repeat <= 50 * n:
+            good.append((i, x, n.bit_length() - 1))
+    first = {}
+    texts = {i: t for i, t, _ in rows}
+    for i, x, size in sorted(good, key=lambda r: texts[r[0]]):  # of a group any counts; here groups are of equal texts
+        first.setdefault((x, marks[i]), (x, size, round(log_ppl[i] * 10_000)))
+    def fence(values):
+        v = sorted(values)
+        q1, q3 = (v[int(np.ceil(p * len(v))) - 1] / 10_000 for p in (0.25, 0.75))
+        return q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
+    kept = set()
+    for i, x, size in good:
+        cells = {}
+        for y, s, v in first.values():
+            if y == x:
+                cells.setdefault(s, []).append(v)
+        full = {s: v for s, v in cells.items() if len(v) >= least}
+        near = [s for s in sorted(full) if s <= size][-1:] or sorted(full)[:1]
+        whole = [v for vs in cells.values() for v in vs]
+        values = full[near[0]] if near else whole if len(whole) >= least else None
+        low, high = fence(values) if values else (-np.inf, np.inf)
+        if low <= log_ppl[i] <= high:
+            kept.add(i)
+    return kept
+
+
 def test_perplexity_and_bands_by_their_definition(spark):
     rng = np.random.default_rng(3)
     texts = prose(rng, 40)
@@ -307,6 +354,22 @@ def test_blocks_of_a_long_text_change_nothing(monkeypatch):
     assert whole == [(g.words().tolist(), {k: v.tolist() for k, v in perplexity.measure(g).items()}, np.concatenate([*perplexity._grams(g), np.zeros(0, np.uint64)]).tolist()) for _, g in words.in_groups(texts)]
 
 
+def test_a_text_of_50_mb_stays_within_bounds():
+    """Measures, marks, n-grams and shingle sets of one very long text, whole."""
+    word = np.random.default_rng(2).integers(97, 123, (50, 9), "u1")
+    word[:, 8] = 32
+    raw = word[np.random.default_rng(3).integers(0, 50, 5_600_000)].ravel()
+    tracemalloc.start()
+    (_, text), = words.in_groups(pa.array([raw.tobytes()], pa.large_binary()))
+    told = perplexity.measure(text)
+    seen = sum(int((counts := np.unique(code, return_counts=True))[1].sum()) for code in perplexity._grams(text))
+    grams, _ = ngram_join.gram_sets(text, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert told["n_words"].tolist() == [5_600_000] and told["word_chars"].tolist() == [8 * 5_600_000] and seen == len(raw) and len(grams) > 5_000_000
+    assert peak < 1_200_000_000
+
+
 CLASHES = ["_h", "_d", "_th", "_cuts", "_lines", "_found", "_odd", "_id", "_key", "_good", "id", "tw_0", "TW_1", "key", "hash", "cell", "total", "block"]
 
 
@@ -316,3 +379,39 @@ def test_columns_pass_through_whatever_they_are_called(spark, op):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{c}` string" for c in CLASHES))
     got = op(df)
     assert got.columns == df.columns and sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_the_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage of run() on a small table, against plain Python on what the stage before it kept."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 120")
+    near = [f"n{i}" for i in range(80)]
+    extra = [(1000, " ".join(near), "en"), (1001, " ".join(near[:-2] + ["x", "y"]), "en"), (1002, None, "en"), (1003, "%%% " * 60, "de"), (1004, "Mr John Smith of a@b.org " + " ".join(f"p{i}" for i in range(60)), "en")]
+    now = docs.unionByName(spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in extra], docs.schema))
+    for number, (name, stage) in enumerate(c.STAGES):
+        before = now.collect()
+        stage(spark, now, None).write.parquet(str(tmp_path / str(number)))
+        now = spark.read.parquet(str(tmp_path / str(number)))
+        after = now.collect()
+        was, text = {r.doc_id: r.text for r in before}, {r.doc_id: r.text for r in after} if number < 4 else {}
+        if name == "quality rules":
+            assert set(text) == brute_quality([(r.doc_id, r.text, r.lang) for r in before]) and all(was[i] == t for i, t in text.items())
+        elif name == "line dedup":
+            assert text == brute_dedup(sorted(was.items()))
+        elif name == "n-gram Jaccard join":
+            blank = {}
+            for i, t in sorted(was.items()):
+                if not re.search(WORD, t):
+                    blank.setdefault(t, i)
+            worded = [(i, t) for i, t in sorted(was.items()) if re.search(WORD, t)]
+            assert set(text) == {k for k, _ in brute_links(worded).values()} | set(blank.values()) and all(was[i] == t for i, t in text.items()) and 1000 in text and 1001 not in text
+        elif name == "PII":
+            assert set(text) == set(was) and "Smith" not in text[1004] and "a@b.org" not in text[1004] and text[1000] == was[1000]
+            assert all(text[i] == t for i, t in was.items() if not re.search(r"[0-9@=:]|M[rs]|Dr|Sr|Herr|Frau|Miss|Sir|Prof|Señor|Mon|Mad|Mme|Mlle", t))
+        else:
+            lib = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+            for r in after:
+                ids = np.array([*lib.encode(was[r.doc_id], add_special_tokens=False).ids, 0], "<u4")[r.start : r.start + r.length]
+                assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
+            assert {r.doc_id for r in after if r.piece == 0} == set(was) and sum(r.length for r in after) == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in was.values())

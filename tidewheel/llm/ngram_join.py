@@ -5,10 +5,14 @@ it has fewer. Texts with equal sets are copies; they are one node from here
 on. Nodes meet if any of their bands of MinHash rows agree; bands and rows are
 chosen so that a pair at the threshold meets with probability RECALL at least.
 Band hashes are shuffled, and each bucket links its members to its smallest
-one, never all to all. The connected candidates then bring their full n-gram
-sets together, and every pair among them is verified exactly: small groups in
-one piece, others as pairs of blocks of bounded size, which any number of
-tasks share. Pairs are counted where they are verified, never listed.
+one, never all to all. Candidates then bring their full n-gram sets
+together and are verified exactly. A connected group of candidates that fits
+in one block is verified there, one of up to FEW blocks as pairs of blocks. A
+larger one is cut into blocks around its buckets, and two blocks meet only if
+members of both share a band: so a chain of chance matches costs its own
+length, not its square, while a true group of near copies meets block by block
+in any number of tasks. Pairs are counted where they are verified, never
+listed.
 
 A document's links are the documents, copies included, at the threshold or
 above; its class is the connected component of links, named by the smallest
@@ -19,7 +23,7 @@ and a class of their own, the id of their row. Repeated rows (same id and
 text) count once each as documents. A null id is the smallest id, and a class
 may have the id null. Similarity equal to the threshold links. An empty table
 gives an empty table. Further columns are ignored by similar_groups() and kept
-by keep_first().
+by keep_first(), whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_count, settle, split_heavy
+from .common import MAX_KEYS, drop_rows, one_of_each, row_count, settle, split_heavy, take_rows
 from .components import components
 from .words import Texts, in_groups, mix, shingles
 
@@ -41,6 +45,8 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 #: Documents, and n-grams, that a block of a candidate group may hold.
 BLOCK, BLOCK_GRAMS = 256, 1_500_000
+#: Blocks of a group that all meet one another; of more, only those that share a band.
+FEW = 16
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
@@ -114,12 +120,35 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(work, f"id {kind}, th bigint, node bigint, n_grams bigint, bands array<bigint>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """node, root: nodes that share a band with another, and their group."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node, h, hub, n: the band hashes that nodes share with others, the smallest node there and how many; and node, root: connected groups of them."""
     rows = settle(nodes.select("node", F.explode("bands").alias("h")))
     buckets = rows.groupBy("h").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     heavy, rest = split_heavy(rows, settle(buckets), "h", row_count(rows), "n")
-    return components(heavy.unionByName(rest).selectExpr("node a", "hub b"))
+    shared = settle(heavy.unionByName(rest))
+    return shared, components(shared.selectExpr("node a", "hub b"))
+
+
+def _meetings(large: DataFrame, shared: DataFrame) -> DataFrame:
+    """node, block, ends (the pairs of blocks it goes to) of the nodes of large groups. large: node, n_grams, root, parts."""
+    near = settle(shared.join(large.select("node"), "node", "left_semi"))
+    anchors = near.groupBy("node").agg(F.max(F.struct("n", "hub"))["hub"].alias("anchor"))
+    at = settle(large.join(anchors, "node"))
+    sums = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
+    heavy, rest = split_heavy(at, settle(sums.select("anchor", "k", _parts().alias("own"))), "anchor", row_count(at), "k")
+    # nodes around a bucket that fills blocks get blocks of their own, other buckets share blocks
+    full = F.xxhash64("anchor", F.pmod(F.xxhash64("node"), F.col("own")))
+    block = F.when(2 * F.col("k") > BLOCK, full).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("anchor"), F.col("parts"))))
+    placed = settle(heavy.unionByName(rest).select("node", block.alias("block")))
+    # blocks, not nodes, are paired
+    met = settle(near.select("node", "h").join(placed, "node").select("h", "block").distinct())
+    pairs = met.toDF("h", "a").join(met.toDF("h", "b"), "h").where("a <= b").select("a", "b").distinct()
+    pairs = pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("block"), F.struct("a", "b").alias("end"))
+    return placed.join(pairs.groupBy("block").agg(F.collect_list("end").alias("ends")), "block")
+
+
+def _parts() -> Column:
+    return F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
 
 
 def _verify(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,14 +183,20 @@ def _verify(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, thresh
     return link.sum(1), link @ copies, label
 
 
-def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
+def verified(docs: DataFrame, nodes: DataFrame, shared: DataFrame, groups: DataFrame, n: int, threshold: float) -> DataFrame:
     """node, other, texts, docs: links of each node found in one task, and a node it is connected to there."""
     members = settle(groups.join(nodes.select("node", "n_copies", "n_grams", "rep"), "node"))
     sums = members.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.sum("n_grams").alias("grams"))
-    parts = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    heavy, rest = split_heavy(members, settle(sums.select("root", "k", parts.alias("parts"))), "root", row_count(members), "k")
-    placed = heavy.unionByName(rest).withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rep = placed.select("node", "n_copies", "root", "parts", "block", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th"))
+    heavy, rest = split_heavy(members, settle(sums.select("root", "k", _parts().alias("parts"))), "root", row_count(members), "k")
+    told = ["node", "n_copies", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")]
+    placed = settle(heavy.unionByName(rest).select(*told, "root", "parts", "n_grams"))
+    number = lambda i: F.xxhash64("root", i)
+    block = number(F.pmod(F.xxhash64("node"), F.col("parts")))
+    ends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("block", number(i.cast("bigint"))).alias("a"), F.greatest("block", number(i.cast("bigint"))).alias("b")))
+    rep = placed.where(F.col("parts") <= FEW).withColumn("block", block).withColumn("ends", ends).drop("parts", "n_grams", "root")
+    large = settle(placed.where(F.col("parts") > FEW))
+    if row_count(large):
+        rep = rep.unionByName(large.drop("n_grams", "root", "parts").join(_meetings(large.select("node", "n_grams", "root", "parts"), shared), "node"))
     # the one shuffle of texts: each node's first document finds its text
     own = docs.select("id", "text", F.xxhash64("text").alias("th"))
     texts = own.join(rep, F.col("id").eqNullSafe(F.col("rep_id")) & F.col("th").eqNullSafe(F.col("rep_th")))
@@ -169,26 +204,24 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thres
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, begins, base = [np.zeros(0, np.uint64)], [np.zeros(1, "i8")], 0
-            for _, group in in_groups(batch.column(5)):
+            for _, group in in_groups(batch.column(4)):
                 grams, begin = gram_sets(group, n)
                 found.append(grams)
                 begins.append(begin[1:] + base)
                 base += len(grams)
             lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(begins)), pa.array(np.concatenate(found).view("i8"))).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists], ["root", "node", "n_copies", "parts", "block", "grams"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], ["node", "n_copies", "block", "ends", "grams"])
 
-    held = texts.select("root", "node", "n_copies", "parts", "block", "text").mapInArrow(sets, "root bigint, node bigint, n_copies bigint, parts int, block int, grams array<bigint>")
-    # a block meets every block of its group, itself included
-    held = held.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    held = held.select("root", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n_copies", "grams")
-    dealt = held.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    held = texts.select("node", "n_copies", "block", "ends", "text").mapInArrow(sets, "node bigint, n_copies bigint, block bigint, ends array<struct<a: bigint, b: bigint>>, grams array<bigint>")
+    held = held.select(F.explode("ends").alias("end"), "block", "node", "n_copies", "grams").select("end.a", "end.b", "block", "node", "n_copies", "grams")
+    dealt = held.repartition("a", "b").sortWithinPartitions("a", "b", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(key: tuple, rows: dict[int, tuple]) -> pa.RecordBatch:
             ids = np.array(list(rows))
-            left = np.array([r[0] == key[1] for r in rows.values()])
+            left = np.array([r[0] == key[0] for r in rows.values()])
             copies = np.array([r[1] for r in rows.values()], "i8")
-            if key[1] != key[2] and (left.all() or not left.any()):
+            if key[0] != key[1] and (left.all() or not left.any()):
                 links, weighed, label = np.zeros(len(ids), "i8"), np.zeros(len(ids), "i8"), np.arange(len(ids))
             else:
                 links, weighed, label = _verify([r[2] for r in rows.values()], copies, left, threshold)
@@ -197,11 +230,11 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, n: int, thres
 
         key, rows = None, {}
         for batch in batches:
-            roots, i, j, block, node, copies = (batch.column(c).to_pylist() for c in range(6))
-            grams = batch.column(6)
+            a, b, block, node, copies = (batch.column(c).to_pylist() for c in range(5))
+            grams = batch.column(5)
             values, begin = np.asarray(grams.values), np.asarray(grams.offsets)
             for k in range(batch.num_rows):
-                at = (roots[k], i[k], j[k])
+                at = (a[k], b[k])
                 if at != key:
                     if len(rows) > 1:
                         yield told(key, rows)
@@ -227,7 +260,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .groupBy("node", "n_grams")
         .agg(F.count(F.lit(1)).alias("n_copies"), F.min(first).alias("rep"), F.first("bands").alias("bands"))
     )
-    links = settle(verified(plain, nodes, candidates(nodes), n, threshold))
+    links = settle(verified(plain, nodes, *candidates(nodes), n, threshold))
     sums = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     classes = components(links.selectExpr("node a", "other b"))
     named = nodes.select("node", "n_copies", "rep").join(sums, "node", "left").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -253,9 +286,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs for each class of similar texts: the one with the smallest id. Of texts without words, equal ones are a class here."""
-    rows = similar_groups(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("_id"), F.col("th").alias("_th"), "is_first", "worded")
-    blank = rows.where(~F.col("worded")).groupBy("_th").agg(F.min(F.struct(F.col("_id").isNotNull().alias("known"), "_id"))["_id"].alias("_id"))
-    first = rows.where("is_first and worded").select("_id", "_th").distinct().unionByName(blank)
-    keyed = docs.withColumn("_h", F.xxhash64(text_col))
-    kept = keyed.join(first, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_semi")
-    return kept.dropDuplicates([id_col, "_h"]).select(*docs.columns)
+    rows = settle(similar_groups(docs, id_col, text_col, n, threshold).select(F.col(id_col).alias("id"), "th", "is_first", "worded"))
+    order = F.struct(F.col("id").isNotNull().alias("known"), "id")
+    blank = rows.where(~F.col("worded"))
+    least = settle(blank.groupBy("th").agg(F.min(order).alias("first")))
+    later = blank.join(F.broadcast(least) if row_count(least) <= MAX_KEYS else least, "th").where(order > F.col("first"))
+    gone = rows.where("worded and not is_first").select("id", "th").unionByName(later.select("id", "th")).distinct()
+    found = [F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))]
+    kept = drop_rows(docs, gone, found)
+    twins = settle(rows.groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "th"))
+    if not row_count(twins):
+        return kept
+    return drop_rows(kept, twins, found).unionByName(one_of_each(take_rows(kept, twins, found), found))
