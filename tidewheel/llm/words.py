@@ -90,6 +90,8 @@ class Texts:
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """The sum of a flag of each byte over each text."""
+        if self.n == 1:
+            return np.array([np.count_nonzero(flags)])
         sums = np.concatenate([[0], np.cumsum(flags, dtype="i8")])
         return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
 
