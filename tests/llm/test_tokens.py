@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -75,6 +76,27 @@ def test_each_token_is_allocated_once(docs, rule):
         assert lines == r.text.splitlines(keepends=True) or "".join(lines) == r.text
 
 
+def test_counts_of_each_line_by_plain_look(spark, docs, odd):
+    """Tokens of the library, each given to the line of its first character."""
+    lib = encoding(PLAIN)
+    for df in (docs.limit(25), odd, odd.limit(0)):
+        want = Counter()
+        for r in df.collect():
+            text = r.text or ""
+            line_of = [0]
+            for c in text:
+                line_of.append(line_of[-1] + (c == "\n"))
+            starts = [i for i, c in enumerate(text) for _ in c.encode()]  # the character of each byte
+            at = 0
+            for token in lib.encode_ordinary(text):
+                want[r.doc_id, line_of[starts[at]]] += 1
+                at += len(lib.decode_single_token_bytes(token))
+        got = Counter()
+        for r in token_counts.count_tokens(df, PLAIN, public_tokenizers.PATTERN).collect():
+            got[r.doc_id, r.section] += r.n_tokens
+        assert +got == want
+
+
 def test_rules_at_a_boundary():
     a, b, s, e = (np.array(x) for x in ([0, 4, 9], [4, 9, 12], [0, 6, 10], [6, 8, 12]))
     for rule, want in {"start": [2, 0, 1], "majority": [2, 0, 1], "split": [1.5, 0.5, 1]}.items():
