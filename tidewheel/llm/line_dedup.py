@@ -7,13 +7,13 @@ two texts that share a run of whole lines of at least min_words words share a
 fingerprint for certain; a window whose fingerprint stands at one place of the
 corpus alone is dropped at once, and most are.
 
-At fingerprints that stand at two places or more, positions are joined by the
-content of the whole window around them, and a match reaches both ways over
-it: windows that begin at a line carry it forward, windows that end at a line
-backward. A run that repeats an earlier one is just the union of its windows,
-so every later run of min_words words or more goes, whichever text it repeats,
-in the order (doc_id, text hash, line). A deleted line always equals an
-earlier one, so the first copy of each line stays.
+Positions that share a fingerprint are joined, and the content of the windows
+around them is compared, by 128 bits of hash over all their lines; a match
+reaches both ways over it: windows that begin at a line carry it forward,
+windows that end at a line backward. A run that repeats an earlier one is just
+the union of its windows, so every later run of min_words words or more goes,
+whichever text it repeats, in the order (doc_id, text hash, line). A deleted
+line always equals an earlier one, so the first copy of each line stays.
 
 Lines match as wholes: a passage inside a line, or one whose whole lines hold
 fewer than min_words words, stays.
@@ -31,20 +31,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_count, settle, split_heavy, word_count
+from .common import MAX_KEYS, free_names, row_count, settle, split_heavy, word_count
 
 MIN_WORDS = 50
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each line that holds a word: d, th, pos, lh (hash of the trimmed line), words."""
+    """One row for each line that holds a word: d, th, pos, lh and lh2 (hashes of the trimmed line), words."""
     keyed = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null")
     lines = keyed.select("d", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    return lines.select("d", "th", "pos", F.xxhash64(F.trim("line")).alias("lh"), word_count(F.col("line")).alias("words")).where("words > 0")
+    trimmed = F.trim("line")
+    return lines.select("d", "th", "pos", F.xxhash64(trimmed).alias("lh"), F.xxhash64(F.lit(1), trimmed).alias("lh2"), word_count(F.col("line")).alias("words")).where("words > 0")
 
 
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Every window: d, th, first_line, last_line, print (its smallest line hash), spot (where that stands), key (hash of its content)."""
+    """Every window: d, th, first_line, last_line, print (its smallest line hash), spot (where that stands), key and key2 (hashes of its content)."""
     doc = Window.partitionBy("d", "th").orderBy("pos")
     before, after = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
     placed = (
@@ -55,16 +56,16 @@ def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .withColumn("ce", F.col("cs") + F.col("words"))
     )
     # words before a line, and up to it, grow strictly: a window is a range of either
-    line = F.struct("pos", "lh")
+    line = F.struct("pos", "lh", "lh2")
     ahead = Window.partitionBy("d", "th").orderBy("cs").rangeBetween(0, min_words - 1)
     behind = Window.partitionBy("d", "th").orderBy("ce").rangeBetween(-(min_words - 1), 0)
     both = placed.withColumn("f", F.when(F.col("rest") + F.col("words") >= min_words, F.collect_list(line).over(ahead)))
     both = both.withColumn("b", F.when(F.col("ce") >= min_words, F.collect_list(line).over(behind)))
     held = both.select("d", "th", F.explode(F.array("f", "b")).alias("w")).where("w is not null")
     least = F.array_min(F.transform("w", lambda x: F.struct(x["lh"].alias("lh"), x["pos"].alias("pos"))))
-    content = F.xxhash64(F.transform("w", lambda x: x["lh"]))
+    content = lambda name: F.xxhash64(F.transform("w", lambda x: x[name]))
     return held.select(
-        "d", "th", F.element_at("w", 1)["pos"].alias("first_line"), F.element_at("w", -1)["pos"].alias("last_line"), least["lh"].alias("print"), least["pos"].alias("spot"), content.alias("key")
+        "d", "th", F.element_at("w", 1)["pos"].alias("first_line"), F.element_at("w", -1)["pos"].alias("last_line"), least["lh"].alias("print"), least["pos"].alias("spot"), content("lh").alias("key"), content("lh2").alias("key2")
     )
 
 
@@ -74,7 +75,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at = lambda pos: F.struct(F.col("d").isNotNull().alias("known"), "d", "th", pos)
     prints = found.groupBy("print").agg(F.count(F.lit(1)).alias("n"), F.min(at("spot")).alias("a"), F.max(at("spot")).alias("z")).where("a <> z").select("print", "n")
     heavy, rest = split_heavy(found, settle(prints), "print", row_count(found), "n")
-    held = settle(heavy.drop("n").unionByName(rest.drop("n")).select("d", "th", "first_line", "last_line", "key"))
+    held = settle(heavy.drop("n").unionByName(rest.drop("n")).select("d", "th", "first_line", "last_line", F.struct("print", "key", "key2").alias("key")))
     # windows of equal content are as long, whichever way they were made, so they begin and end at matching lines
     spots = held.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(at("first_line")).alias("first")).where("n > 1")
     pairs = [p.where(at("first_line") > F.col("first")).select("d", "th", "first_line", "last_line") for p in split_heavy(held, settle(spots), "key", row_count(held), "n")]
@@ -88,27 +89,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, report: bool = False) -> DataFrame:
     """docs with later repeated runs cut out of text_col; with report, also n_lines and n_removed (bigint).
 
-    The whole text is shuffled once, to meet its cuts.
+    Up to MAX_KEYS cuts come to where the texts lie; beyond that the texts are
+    shuffled once, to meet their cuts.
     """
-    cuts = (
-        repeated_runs(docs, id_col, text_col, min_words)
-        .groupBy("d", "th")
-        .agg(F.array_sort(F.collect_list(F.struct("first_line", "last_line"))).alias("_cuts"))
-        .select(F.col("d").alias("_d"), F.col("th").alias("_th"), "_cuts")
+    runs = settle(repeated_runs(docs, id_col, text_col, min_words))
+    few = row_count(runs) <= MAX_KEYS
+    d, th, cuts, lines = free_names(docs, 4)
+    found = runs.groupBy("d", "th").agg(F.array_sort(F.collect_list(F.struct("first_line", "last_line")))).toDF(d, th, cuts)
+    met = docs.join(F.broadcast(found) if few else found.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(d)) & (F.xxhash64(text_col) == F.col(th)), "left")
+    starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["last_line"] + 1))
+    ends = F.concat(F.transform(cuts, lambda c: c["first_line"]), F.array(F.size(lines)))
+    left = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+    cut = met.withColumn(lines, F.when(F.col(cuts).isNotNull(), F.split(text_col, "\n", -1))).withColumn(
+        text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     )
-    met = docs.withColumn("_h", F.xxhash64(text_col)).join(
-        cuts.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_th")), "left"
-    )
-    lines = F.split(text_col, "\n", -1)
-    starts = F.concat(F.array(F.lit(0)), F.transform("_cuts", lambda c: c["last_line"] + 1))
-    ends = F.concat(F.transform("_cuts", lambda c: c["first_line"]), F.array(F.size("_lines")))
-    left = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 1, b - a)))
-    cut = met.withColumn("_lines", F.when(F.col("_cuts").isNotNull(), lines)).withColumn(
-        text_col, F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    )
-    gone = F.coalesce(F.aggregate("_cuts", F.lit(0), lambda s, c: s + c["last_line"] - c["first_line"] + 1), F.lit(0)).cast("long")
     if not report:
-        return cut.select(*docs.columns)
+        return cut.select(*[f"`{c}`" for c in docs.columns])
+    gone = F.coalesce(F.aggregate(cuts, F.lit(0), lambda s, c: s + c["last_line"] - c["first_line"] + 1), F.lit(0)).cast("long")
     now = F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0)).cast("long")
-    every = F.when(F.col("_lines").isNotNull(), F.size("_lines").cast("long")).otherwise(now)
-    return cut.select(*docs.columns, every.alias("n_lines"), gone.alias("n_removed"))
+    every = F.when(F.col(lines).isNotNull(), F.size(lines).cast("long")).otherwise(now)
+    return cut.select(*[f"`{c}`" for c in docs.columns], every.alias("n_lines"), gone.alias("n_removed"))
