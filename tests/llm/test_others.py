@@ -1,10 +1,12 @@
 """Chat windows, neighbours, importance resampling, surrogates, the pipeline and the guard."""
 
 import hashlib
+import math
 import random
 import re
 import subprocess
 import sys
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel.llm import ann, chat_windows, importance, surrogates
+from tidewheel.llm import ann, chat_windows, importance, surrogates, words
 
 
 def sha(text):
@@ -150,6 +152,36 @@ def test_importance_on_held_out_rows(spark):
     assert importance.resample(docs.limit(0), labels).count() == 0
 
 
+def test_weights_by_their_definition(spark):
+    """Bucket counts, smoothed ratios and held-out weights in plain Python."""
+    rng = random.Random(7)
+    words_ = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words_[: 25 + i % 25], k=30))) for i in range(60)] + [(60, None)]
+    labels = {i: i % 3 != 0 for i in range(0, 60, 2)}
+    got = {r.doc_id: r for r in importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, good boolean")).collect()}
+    fits = {r.i for r in spark.createDataFrame([(i,) for i in labels], "i long").where(F.xxhash64("i", F.lit(importance.SEED + 1)) % 5 != 0).collect()}
+    buckets = {}
+    for i, t in rows:
+        group = list(words.in_groups(pa.array([t])))[0][1]
+        buckets[i] = importance._features(group)[0].tolist()
+    raw, target = Counter(b for bs in buckets.values() for b in bs), Counter(b for i, bs in buckets.items() if labels.get(i) and i in fits for b in bs)
+    scale = sum(target.values()) / sum(raw.values())
+    for i, bs in buckets.items():
+        own = Counter(bs) if labels.get(i) and i in fits else Counter()
+        want = sum(math.log(max(target[b] + importance.SMOOTHING - own[b], 0.5) / (raw[b] * scale + importance.SMOOTHING)) for b in bs)
+        assert got[i].n_grams == len(bs) and (got[i].log_weight is None if not bs else abs(got[i].log_weight - want) < 1e-3 * max(1, abs(want)))
+
+
+def test_odd_rows_pass_the_classifier(spark, odd):
+    labels = spark.createDataFrame([(4, True), (5, False), (99, True)], "doc_id long, good boolean")
+    rows = importance.resample(odd, labels).collect()
+    assert len(rows) == odd.count() and len({(r.score, r.kept) for r in rows if r.doc_id == 4}) == 1
+    assert all(r.n_grams == 0 and r.log_weight is None and not r.kept for r in rows if r.doc_id in (1, 2, 3))
+    assert {r.n_grams for r in rows if r.doc_id == 5} == {60_000 + 59_999}
+    everything = importance.resample(odd, labels, share=1.0)
+    assert everything.where("kept").count() == everything.where("log_weight is not null").count()
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     values = [rng.randint(-(1 << 62), 1 << 62) for _ in range(300)] + [0, 0, -1, 1, 5, 5, 5]
@@ -207,6 +239,37 @@ def test_telephone_numbers_of_many_lands(spark):
     assert surrogates.replace_pii(spark.createDataFrame(plain, "doc_id long, text string"), "k").first().text == plain[0][1]
 
 
+def test_a_last_name_without_title_stays_the_same_person(spark):
+    rows = [(1, "Mr John Smith came. Smith left, and Smithers with a smith; Mrs Anna Smith stayed. Smith's hat, blacksmith@x.org."), (2, "Smith was never named here with a title.")]
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[2] == rows[1][1]
+    john = re.match(r"Mr (\S+ (\S+)) came\. (\S+) left, and Smithers with a smith; Mrs \S+ (\S+) stayed\. (\S+)'s hat", got[1])
+    assert john and len({john[k] for k in (2, 3, 4, 5)}) == 1 and "Smith " not in got[1]
+
+
+def test_a_written_name_is_no_real_name(spark):
+    rows = [(1, "Mr Adam Miller")]
+    made = surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").first().text[3:]
+    rows.append((2, f"Dr {made}"))  # the surrogate of the one is the real name of the other
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert got[1] != f"Mr {made}" and made not in got[2]
+
+
+def test_entities_and_surrogates_are_one_to_one(spark, docs):
+    """Over a corpus, by a plain look at each finding and what stands in its place."""
+    rows = {r.doc_id: r.text for r in docs.collect() if r.text}
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(docs, "k").collect()}
+    forward, back, n = {}, {}, 0
+    mail = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"
+    for i, text in rows.items():
+        old, new = re.findall(mail, text), re.findall(mail, got[i])
+        assert len(old) == len(new)
+        for a, b in zip(old, new, strict=True):
+            n += 1
+            assert forward.setdefault(a.lower(), b.lower()) == b.lower() and back.setdefault(b.lower(), a.lower()) == a.lower()
+    assert n and not set(forward) & set(back)
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     # so few surrogates that first tries must collide
     monkeypatch.setattr(surrogates, "surrogate", lambda key, kind, value, attempt: F.concat(F.lit("10.0.0."), F.pmod(F.xxhash64(value, attempt), F.lit(60)).cast("string")))
@@ -241,6 +304,25 @@ def test_pipeline_stage_by_stage(spark, docs, tmp_path):
     assert key(whole) == key(now)
 
 
+def test_stages_on_odd_and_no_rows(spark, odd):
+    import corpus_pipeline as c
+
+    left = {"quality rules": 0, "line dedup": 7, "n-gram Jaccard join": 6, "PII": 7}  # all of odd are short or repeat themselves; one row stands twice
+    for name, stage in c.STAGES:
+        got, none = stage(spark, odd, None), stage(spark, odd.limit(0), None)
+        assert none.columns == got.columns and none.count() == 0
+        if name in left:
+            assert got.columns == odd.columns and got.count() == left[name], name
+            assert {r.text for r in got.collect()} <= {r.text for r in odd.collect()}
+        else:
+            assert got.where("piece = 0").count() == odd.count()
+
+
+def test_a_missing_library_leaves_the_rest(tmp_path):
+    code = "import sys; sys.modules['tiktoken'] = None; import __spark_entry__ as e; q = e.queries(); assert 'panel_monthly' in q and 'op1_line_dedup' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=".", timeout=60)
+
+
 def test_entry_works_without_the_subpackage(tmp_path):
     code = "import sys; sys.modules['tidewheel.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'panel_monthly' in q and 'op1_line_dedup' not in q and 'pipeline' not in q; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=".", timeout=60)

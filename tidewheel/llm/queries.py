@@ -90,14 +90,15 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read_table(spark, sf_dir, "documents")).drop("th", "worded")
 
 
-#: Of the query alone: a deployment brings its own secret.
-SURROGATE_KEY = "tidewheel-query"
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of surrogates: the session's spark.tidewheel.surrogateKey; without one, a word that anyone can read here."""
+    return spark.conf.get("spark.tidewheel.surrogateKey", None) or "not-a-secret"
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data and secrets replaced by surrogates."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return replace_pii(docs, SURROGATE_KEY, report=True)
+    return replace_pii(docs, surrogate_key(spark), report=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

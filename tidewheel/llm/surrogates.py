@@ -8,19 +8,23 @@ its title) chooses letters and digits in place of those there, of the same
 script, case and length. So the same entity has the same surrogate in every
 document and every spelling of its marks, without a table of entities. Card
 numbers keep their first digit and pass the checksum, IBANs keep their country
-and pass theirs, IP numbers stay in 10.0.0.0/8, e-mail hosts keep their last
+and pass theirs, IP numbers go to 10.0.0.0/8 as long as it has room, e-mail hosts keep their last
 label; names get syllables of their script with an ending that fits the
 title's gender.
 
 Collisions are checked over the whole corpus: of two entities of a type with
-one surrogate, and of any entity whose surrogate is another's real value (or
-its own), all but the first are hashed anew with the next attempt number,
-until none is left. Only these exceptions are a table; it is joined to the
-findings, so that entities stay distinct. It is broadcast if it has at most
-MAX_BROADCAST rows, else joined by a shuffle.
+one surrogate, and of any entity whose surrogate, as it would be written, is
+another's real value (or its own), all but the first are hashed anew with the
+next attempt number, until none is left. Only these exceptions are a table; it
+is joined to the findings, so that entities stay distinct. It is broadcast if
+it has at most MAX_BROADCAST rows, else joined by a shuffle.
+
+A last name that stands again in the same text without a title becomes the
+last name of its surrogate.
 
 Edge cases. Null text stays null, empty text empty. Text without findings is
-unchanged, to the last character. Repeated rows get equal results. A null id
+unchanged, to the last character. Of findings that overlap the first and, of
+those, the first type counts. Repeated rows get equal results. A null id
 is an id like any other. An empty table gives an empty table. Further columns
 pass through, whatever they are called. A surrogate is not an entity of this
 corpus, so a second run with another key changes it again.
@@ -33,7 +37,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_unique, settle
+from .common import free_names, join_unique, row_count, settle
 
 MAX_BROADCAST = 20_000
 MAX_ATTEMPTS = 64
@@ -179,6 +183,12 @@ def _ended_name(found: Column, stems: Column) -> Column:
     return F.concat(F.regexp_extract(found, _TITLE_FIRST, 0), F.array_join(ended, " "))
 
 
+def _written(kind: Column, made: Column) -> Column:
+    """All forms in which a surrogate may stand in a text, in normal form: names with the endings of each gender."""
+    names = [_ended_name(F.lit(f"{title} "), made) for title in (MALE[0], FEMALE[0], NEUTRAL[0])]
+    return F.when(kind == "person", F.transform(F.array(*names), lambda n: F.regexp_replace(n, _TITLE_FIRST, ""))).otherwise(F.array(made))
+
+
 def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The surrogate of an entity in normal form."""
     digest = _hash(key, kind, value, attempt)
@@ -188,6 +198,8 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     # one host, one surrogate host, whoever writes from there
     hosts = _redraw(host, _hash(key, F.lit("host"), host, F.lit(0)), never)
     octet = lambda i: (_number(digest, i) % 256).cast("string")
+    # private addresses; if many collide, reserved ones, then any
+    first = F.when(attempt < 8, "10").when(attempt < 24, (_number(digest, 3) % 15 + 240).cast("string")).otherwise((_number(digest, 3) % 213 + 11).cast("string"))
     redrawn = _redraw(value, digest, F.when(kind == "secret", value.rlike(r"\A[0-9a-f]+\z")).otherwise(never))
     lead = lambda keep: F.concat(F.substring(value, 1, keep), F.substring(redrawn, F.lit(keep + 1), F.length(value)))
     # numbers begin with no 0, so that their length shows
@@ -196,7 +208,7 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
         F.when(kind == "email", F.concat(_redraw(local, digest, never), F.lit("@"), hosts, top))
         .when(kind == "access_key", lead(4))
         .when(kind == "iban", _checked_iban(lead(2)))
-        .when(kind == "ip", F.concat(F.lit("10."), octet(0), F.lit("."), octet(1), F.lit("."), octet(2)))
+        .when(kind == "ip", F.concat(first, F.lit("."), octet(0), F.lit("."), octet(1), F.lit("."), octet(2)))
         .when(kind == "card", _checked_card(lead(1)))
         .when(kind.isin("phone", "ssn"), firm)
         .when(kind == "person", _made_up_name(key, value, attempt))
@@ -249,7 +261,8 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
         order = F.struct("attempt", "value")
         twice = now.groupBy("kind", "s").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first")).where("n > 1")
         worse = now.join(twice, ["kind", "s"]).where(order != F.col("first")).select("kind", "value")
-        clash = settle(worse.union(now.join(real, ["kind", "s"], "left_semi").select("kind", "value")).distinct())
+        forms = now.select("kind", "value", F.explode(_written(F.col("kind"), F.col("s"))).alias("s"))
+        clash = settle(worse.union(forms.join(real, ["kind", "s"], "left_semi").select("kind", "value")).distinct())
         if not clash.count():
             break
         moved = now.join(clash.withColumn("clash", F.lit(1)), ["kind", "value"], "left")
@@ -263,31 +276,50 @@ def exceptions(known: DataFrame, key: str) -> DataFrame:
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", report: bool = False) -> DataFrame:
     """docs with surrogates in text_col; with report, also n_replaced (bigint)."""
     odd = exceptions(settle(entities(docs, text_col)), key)
-    n_odd = odd.count()
-    keyed = docs.withColumn("_found", findings(text_col))
-    if n_odd:
-        spoken = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.explode(F.array_distinct(findings(text_col))).alias("f"))
+    found, tries, own_id, own_th = free_names(docs, 4)
+    keyed = docs.withColumn(found, findings(text_col))
+    if row_count(odd):
+        spoken = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.explode(F.array_distinct(findings(text_col))).alias("f"))
         spoken = spoken.withColumn("kind", _kind(F.col("f"))).withColumn("k", F.concat_ws("\x1f", "kind", _normal(F.col("kind"), F.col("f"))))
         named = odd.select(F.concat_ws("\x1f", "kind", "value").alias("k"), "attempt")
-        met = spoken.join(F.broadcast(named), "k") if n_odd <= MAX_BROADCAST else join_unique(settle(spoken), named, "k")
-        per_doc = settle(met.groupBy("_id", "_th").agg(F.map_from_entries(F.collect_set(F.struct("k", "attempt"))).alias("_odd")))  # a text's own findings
-        own = F.broadcast(per_doc) if per_doc.count() <= MAX_BROADCAST else per_doc
-        keyed = keyed.withColumn("_h", F.xxhash64(text_col)).join(own, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
+        met = spoken.join(F.broadcast(named), "k") if row_count(odd) <= MAX_BROADCAST else join_unique(settle(spoken), named, "k")
+        per_doc = settle(met.groupBy("id", "th").agg(F.map_from_entries(F.collect_set(F.struct("k", "attempt"))).alias("tries")))  # a text's own findings
+        few = row_count(per_doc) <= MAX_BROADCAST
+        per_doc = per_doc.toDF(own_id, own_th, tries)
+        keyed = keyed.join(F.broadcast(per_doc) if few else per_doc, F.col(id_col).eqNullSafe(F.col(own_id)) & (F.xxhash64(text_col) == F.col(own_th)), "left")
     else:
-        keyed = keyed.withColumn("_odd", F.lit(None).cast("map<string,int>"))
+        keyed = keyed.withColumn(tries, F.lit(None).cast("map<string,int>"))
 
     def one(f: Column) -> Column:
         # each step is worked out once and handed on
         kinds = F.transform(F.array(f), lambda x: F.struct(x.alias("f"), _kind(x).alias("kind")))
         values = F.transform(kinds, lambda x: F.struct(x["f"].alias("f"), x["kind"].alias("kind"), _normal(x["kind"], x["f"]).alias("value")))
-        attempt = lambda x: F.coalesce(F.try_element_at("_odd", F.concat_ws("\x1f", x["kind"], x["value"])), F.lit(0))
+        attempt = lambda x: F.coalesce(F.try_element_at(tries, F.concat_ws("\x1f", x["kind"], x["value"])), F.lit(0))
         made = F.transform(values, lambda x: F.struct(x["f"].alias("f"), x["kind"].alias("kind"), surrogate(key, x["kind"], x["value"], attempt(x)).alias("made")))
-        return F.element_at(F.transform(made, lambda x: _render(x["kind"], x["f"], x["made"])), 1)
+        return F.element_at(F.transform(made, lambda x: F.struct(_render(x["kind"], x["f"], x["made"]).alias("new"), F.when(x["kind"] == "person", x["f"]).alias("name"))), 1)
 
     between = F.split(text_col, ANY, -1)
-    new = F.concat(F.transform("_found", one), F.array(F.lit("")))
-    text = F.array_join(F.zip_with(between, new, lambda a, b: F.concat(a, b)), "")
-    out = keyed.withColumn(text_col, F.when(F.size("_found") > 0, text).otherwise(F.col(text_col)))
+    # last names without their titles, in what stands between the findings
+    last = lambda c: F.regexp_extract(c, rf"({_NAME})\z", 1)
+
+    def bare(part: Column, pairs: Column) -> Column:
+        here = lambda old: F.concat(F.lit(r"(?<![\p{L}\p{M}\d'’@._\-])"), old, F.lit(r"(?![\p{L}\p{M}\d@])"))
+        return F.aggregate(pairs, part, lambda text, p: F.when(text.contains(p["old"]), F.regexp_replace(text, here(p["old"]), p["new"])).otherwise(text))
+
+    def built(made: Column) -> Column:
+        new = F.concat(F.transform(made, lambda n: n["new"]), F.array(F.lit("")))
+        named = F.array_distinct(F.transform(F.filter(made, lambda n: n["name"].isNotNull()), lambda n: F.struct(last(n["name"]).alias("old"), last(n["new"]).alias("new"))))
+
+        def laid(pairs: Column) -> Column:
+            parts = F.when(F.size(pairs) > 0, F.transform(between, lambda part: bare(part, pairs))).otherwise(between)
+            return F.array_join(F.zip_with(parts, new, lambda a, b: F.concat(a, b)), "")
+
+        return F.element_at(F.transform(F.array(named), laid), 1)
+
+    some = F.size(found) > 0
+    text = F.element_at(F.transform(F.array(F.transform(found, one)), built), 1)
+    out = keyed.withColumn(text_col, F.when(some, text).otherwise(F.col(text_col)))
+    columns = [f"`{c}`" for c in docs.columns]
     if report:
-        return out.select(*docs.columns, F.coalesce(F.greatest(F.size("_found"), F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
-    return out.select(*docs.columns)
+        return out.select(*columns, F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
+    return out.select(*columns)
