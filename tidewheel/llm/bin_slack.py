@@ -36,9 +36,9 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 #: Words a worker keeps the ids of, twice: those met lately, and those met before. Its memory bound.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 200_000
 #: Words that are looked up at a time, and encoded in one string.
-AT_ONCE, IN_ONE = 600_000, 1000
+AT_ONCE, IN_ONE = 300_000, 1000
 
 _BREAK = np.arange(256, dtype="u1")
 _BREAK[[9, 10, 13]] = 32
