@@ -16,6 +16,7 @@ from .importance import resample
 from .line_dedup import drop_repeated_lines
 from .ngram_join import similar_groups
 from .perplexity import judge
+from .piecewise import splice_and_compare
 from .sql import CHAT_WINDOWS, LINE_DEDUP, NGRAM_JOIN
 from .surrogates import replace_pii
 from .token_counts import count_tokens
@@ -101,6 +102,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_pii(docs, surrogate_key(spark), report=True)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half replaced by the next document's beginning."""
+    return splice_and_compare(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_ngram_join": op9_ngram_join,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_fingerprints": op11_fingerprints,
 }
 
 #: The others need a tokenizer, a model, random projections or a keyed hash; the tests hold them against brute force.
