@@ -14,10 +14,11 @@ from .chat_windows import format_conversations, read_back
 from .common import read_table
 from .importance import resample
 from .line_dedup import drop_repeated_lines
+from .merkle import manifest
 from .ngram_join import similar_groups
 from .perplexity import judge
 from .piecewise import splice_and_compare
-from .sql import CHAT_WINDOWS, LINE_DEDUP, NGRAM_JOIN
+from .sql import CHAT_WINDOWS, LINE_DEDUP, MERKLE_MANIFEST, NGRAM_JOIN
 from .surrogates import replace_pii
 from .token_counts import count_tokens
 
@@ -107,6 +108,13 @@ def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splice_and_compare(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; a copy in which every second text has lost its line feeds is verified."""
+    second = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    text = F.when(second, F.replace("text", F.lit("\n"))).otherwise(F.col("text"))
+    return manifest(read_table(spark, sf_dir, "documents"), changed={"text": text})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -119,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_ngram_join": op9_ngram_join,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_fingerprints": op11_fingerprints,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: The others need a tokenizer, a model, random projections or a keyed hash; the tests hold them against brute force.
@@ -126,4 +135,5 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP,
     "op5_chat_windows": CHAT_WINDOWS,
     "op9_ngram_join": NGRAM_JOIN,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }

@@ -51,3 +51,29 @@ f(conv_id, i, sum, base, opens) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGIN
 x AS (SELECT conv_id, count(*) AS more, sum(sys_size + CASE WHEN t1 <= 256 THEN s1 ELSE 0 END + CASE WHEN t1 <= 256 AND t1 + t2 <= 256 THEN s2 ELSE 0 END) AS repeated FROM f JOIN h USING (conv_id, i) WHERE opens GROUP BY 1)
 SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, (chars + coalesce(repeated, 0))::BIGINT AS formatted_chars, 1 + coalesce(more, 0) AS n_windows FROM d LEFT JOIN x USING (conv_id)
 """
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text, bit by bit."""
+    return f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({text}) + 1), lambda i: ascii({text}[i])::UBIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))))"
+
+
+def _fields(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: Trees level by level, then every row folded up through its siblings.
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE l AS (SELECT doc_id, source, {_fields("text")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_fields("replace(text, chr(10), '')")} ELSE {_fields("text")} END AS now FROM documents),
+b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+t(g, lvl, i, n, h) AS (SELECT source, 0, i, n, leaf FROM b UNION ALL SELECT g, lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, lvl, i // 3, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lvl, i, n, h) AS (SELECT 0, i, n, subroot FROM s UNION ALL SELECT lvl + 1, i // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lvl, i // 3, n),
+x AS (SELECT a.g, a.lvl, a.i, coalesce(string_agg(c.h, '' ORDER BY c.i) FILTER (c.i < a.i), '') AS pre, coalesce(string_agg(c.h, '' ORDER BY c.i) FILTER (c.i > a.i), '') AS post FROM t a JOIN t c ON a.g IS NOT DISTINCT FROM c.g AND a.lvl = c.lvl AND a.i // 3 = c.i // 3 WHERE a.n > 1 GROUP BY 1, 2, 3),
+y AS (SELECT a.lvl, a.i, coalesce(string_agg(c.h, '' ORDER BY c.i) FILTER (c.i < a.i), '') AS pre, coalesce(string_agg(c.h, '' ORDER BY c.i) FILTER (c.i > a.i), '') AS post FROM u a JOIN u c ON a.lvl = c.lvl AND a.i // 3 = c.i // 3 WHERE a.n > 1 GROUP BY 1, 2),
+f(r, g, lvl, i, n, h, proof) AS (SELECT struct_pack(doc_id, leaf, k := row_number() OVER ()), source, 0, i, n, now, '' FROM b
+  UNION ALL SELECT f.r, f.g, f.lvl + 1, f.i // 3, (f.n + 2) // 3, sha256(pre || f.h || post), proof || pre || post FROM f JOIN x ON x.g IS NOT DISTINCT FROM f.g AND x.lvl = f.lvl AND x.i = f.i WHERE f.n > 1),
+o(r, subroot, lvl, i, n, h, proof) AS (SELECT r, subroot, 0, s.i, s.n, h, proof FROM f JOIN s ON s.g IS NOT DISTINCT FROM f.g WHERE f.n = 1
+  UNION ALL SELECT r, subroot, o.lvl + 1, o.i // 3, (o.n + 2) // 3, sha256(pre || h || post), proof || pre || post FROM o JOIN y ON y.lvl = o.lvl AND y.i = o.i WHERE o.n > 1)
+SELECT r.doc_id AS doc_id, r.leaf AS leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, o.h AS folded_root, o.h = u.h AS verified FROM o JOIN u ON u.n = 1 WHERE o.n = 1
+"""
