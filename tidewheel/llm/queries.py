@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ann import nearest
 from .bin_slack import pack_documents
 from .byte_bpe import encode_documents
+from .chat_repair import damaged, repair
 from .chat_windows import format_conversations, read_back
 from .common import read_table
 from .importance import resample
@@ -18,7 +19,7 @@ from .merkle import manifest
 from .ngram_join import similar_groups
 from .perplexity import judge
 from .piecewise import splice_and_compare
-from .sql import CHAT_WINDOWS, LINE_DEDUP, MERKLE_MANIFEST, NGRAM_JOIN
+from .sql import CHAT_REPAIR, CHAT_WINDOWS, LINE_DEDUP, MERKLE_MANIFEST, NGRAM_JOIN
 from .surrogates import replace_pii
 from .token_counts import count_tokens
 
@@ -115,6 +116,12 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"), changed={"text": text})
 
 
+def op13_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    chats = read_table(spark, sf_dir, "conversations")
+    return repair(damaged(chats), chats)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -128,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii_surrogates": op10_pii_surrogates,
     "op11_fingerprints": op11_fingerprints,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_chat_repair": op13_chat_repair,
 }
 
 #: The others need a tokenizer, a model, random projections or a keyed hash; the tests hold them against brute force.
@@ -136,4 +144,5 @@ ORACLES: dict[str, str] = {
     "op5_chat_windows": CHAT_WINDOWS,
     "op9_ngram_join": NGRAM_JOIN,
     "op12_merkle_manifest": MERKLE_MANIFEST,
+    "op13_chat_repair": CHAT_REPAIR,
 }

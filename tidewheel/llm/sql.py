@@ -77,3 +77,45 @@ o(r, subroot, lvl, i, n, h, proof) AS (SELECT r, subroot, 0, s.i, s.n, h, proof
   UNION ALL SELECT r, subroot, o.lvl + 1, o.i // 3, (o.n + 2) // 3, sha256(pre || h || post), proof || pre || post FROM o JOIN y ON y.lvl = o.lvl AND y.i = o.i WHERE o.n > 1)
 SELECT r.doc_id AS doc_id, r.leaf AS leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, o.h AS folded_root, o.h = u.h AS verified FROM o JOIN u ON u.n = 1 WHERE o.n = 1
 """
+
+
+def _edited(state: str, edit: str, cost: str, line: str | None = None, when: str = "true") -> str:
+    """A state after an edit: its cost (nine digits) with its audit, and the rows put out; NULL if it cannot be."""
+    put = f" || chr(10) || {line}" if line else ""
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN struct_pack(k := lpad((left({state}.k, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({state}.k, 10) || '{edit}', t := {state}.t{put}) END"
+
+
+def _least(*states: str) -> str:
+    return f"least({', '.join(states)})"
+
+
+_U, _A = "'user:'", "'assistant:'"
+_FREE = "fault NOT IN ('b', 'd')"
+#: Inserts: what is reached with u, or a, as the last role put out.
+_INSERT_U = _least("c2", *(_edited(c, "I", "5", _U) for c in ("c0", "c1", "c3")))
+_INSERT_A = _least("c3", _edited("x2", "I", "5", _A))
+_INSERT_U_AGAIN = _least("x2", _edited("x3", "I", "5", _U))
+_STARTS = ("c0", "c1", "y3")
+_ROW = "role || ':' || text"
+
+#: The DP forward, row by row, with whole audits and repaired texts in the states; the least (cost, audit) of a state stays.
+CHAT_REPAIR = f"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS kind FROM conversations),
+x AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS k FROM c WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER w AS rn, lag(left(role, 1)) OVER w AS before, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, k) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+  FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k)),
+f AS (SELECT conv_id, turn, role, text, rn, before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au') AS illegal, left(role, 1) AS r,
+  CASE WHEN bare = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, CASE WHEN fault = 't' THEN 5 ELSE 0 END AS late FROM o),
+n(conv_id, i, c0, c1, c2, c3) AS (SELECT DISTINCT conv_id, 0::BIGINT, struct_pack(k := '000000000', t := ''), NULL::STRUCT(k VARCHAR, t VARCHAR), NULL::STRUCT(k VARCHAR, t VARCHAR), NULL::STRUCT(k VARCHAR, t VARCHAR) FROM f
+  UNION ALL SELECT conv_id, rn, {_edited("c0", "D", "2")},
+    {_least(_edited("c1", "D", "2"), _edited("c0", "K", "late", _ROW, f"r = 's' AND {_FREE}"))},
+    {_least(_edited("y2", "D", "2"), *(_edited(c, "K", "late", _ROW, f"r = 'u' AND {_FREE}") for c in _STARTS), *(_edited(c, "R", "late + 1", f"{_U} || text", _FREE) for c in _STARTS))},
+    {_least(_edited("y3", "D", "2"), _edited("y2", "K", "late", _ROW, f"r = 'a' AND {_FREE}"), _edited("y2", "R", "late + 1", f"{_A} || text", _FREE))}
+  FROM (SELECT *, {_INSERT_U_AGAIN} AS y2, x3 AS y3 FROM (SELECT *, {_INSERT_A} AS x3 FROM (SELECT n.*, f.* EXCLUDE (conv_id), {_INSERT_U} AS x2 FROM n JOIN f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.rn = n.i + 1)))),
+e AS (SELECT conv_id, {_least("c0", "x3")} AS best FROM (SELECT *, {_INSERT_A} AS x3 FROM (SELECT *, {_INSERT_U} AS x2 FROM n)) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY 1),
+d AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(best.k, 9)::BIGINT, 0) AS cost, coalesce(substr(best.k, 10), '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM d LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
