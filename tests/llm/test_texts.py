@@ -121,12 +121,10 @@ def test_odd_rows_pass_the_join(odd):
     assert ngram_join.similar_groups(odd.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("few", [16, 1])
-def test_blocks_find_what_one_piece_finds(spark, monkeypatch, few):
+def test_blocks_find_what_one_piece_finds(spark, monkeypatch):
     base, other = [f"v{i}" for i in range(80)], [f"u{i}" for i in range(90)]
     rows = [(k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(40)] + [(100 + k, " ".join(other[k : k + 60])) for k in range(30)]  # a star and a chain
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
-    monkeypatch.setattr(ngram_join, "FEW", few)
     got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute_links(rows)
 
@@ -415,3 +413,13 @@ def test_the_pipeline_by_brute_force(spark, tmp_path):
                 ids = np.array([*lib.encode(was[r.doc_id], add_special_tokens=False).ids, 0], "<u4")[r.start : r.start + r.length]
                 assert len(ids) == r.length and zlib.crc32(ids.tobytes()) == r.ids_crc32
             assert {r.doc_id for r in after if r.piece == 0} == set(was) and sum(r.length for r in after) == sum(len(lib.encode(t, add_special_tokens=False).ids) + 1 for t in was.values())
+
+
+def test_a_text_of_very_many_lines(spark):
+    """Its time is in proportion: a frame from a line to the end would take hours."""
+    lines = [f"line {i} of a long text with eleven words in it here" for i in range(100_000)]
+    text = "\n".join(lines + ["new words between the parts"] + lines[5000:5010])
+    df = spark.createDataFrame([(1, text, 0), (2, "\n".join(lines[:7]), 0)], "doc_id long, text string, `w``x` int")
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_lines(df, report=True).collect()}
+    assert got[1].text == "\n".join(lines + ["new words between the parts"]) and (got[1].n_lines, got[1].n_removed) == (100_011, 10)
+    assert got[2].text == "" and got[2].n_removed == 7 and "w`x" in df.columns and got[2]["w`x"] == 0

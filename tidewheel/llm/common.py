@@ -122,6 +122,11 @@ def one_of_each(docs: DataFrame, found: list[Column]) -> DataFrame:
     return docs.withColumns(dict(zip(names, found, strict=True))).dropDuplicates(names).drop(*names)
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as expressions, whatever signs they hold."""
+    return ["`" + name.replace("`", "``") + "`" for name in names]
+
+
 def free_names(df: DataFrame, n: int) -> list[str]:
     """So many column names that df does not have, however they are spelt."""
     taken, out, i = {c.lower() for c in df.columns}, [], 0

@@ -31,15 +31,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_KEYS, free_names, row_count, settle, split_heavy, word_count
+from .common import MAX_KEYS, free_names, quoted, row_count, settle, split_heavy, word_count
 
 MIN_WORDS = 50
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each line that holds a word: d, th, pos, lh and lh2 (hashes of the trimmed line), words."""
-    keyed = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t")).where("t is not null")
-    lines = keyed.select("d", F.xxhash64("t").alias("th"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
+    keyed = docs.select(F.col(id_col).alias("d"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("th")).where("t is not null")  # a hash here is one a text, not one a line
+    lines = keyed.select("d", "th", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
     trimmed = F.trim("line")
     return lines.select("d", "th", "pos", F.xxhash64(trimmed).alias("lh"), F.xxhash64(F.lit(1), trimmed).alias("lh2"), word_count(F.col("line")).alias("words")).where("words > 0")
 
@@ -47,13 +47,13 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every window: d, th, first_line, last_line, print (its smallest line hash), spot (where that stands), key and key2 (hashes of its content)."""
     doc = Window.partitionBy("d", "th").orderBy("pos")
-    before, after = doc.rowsBetween(Window.unboundedPreceding, -1), doc.rowsBetween(1, Window.unboundedFollowing)
+    before, whole = doc.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("d", "th")
     placed = (
         lines.repartition("d", "th")
         .dropDuplicates(["d", "th", "pos"])
         .withColumn("cs", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        .withColumn("rest", F.coalesce(F.sum("words").over(after), F.lit(0)))
         .withColumn("ce", F.col("cs") + F.col("words"))
+        .withColumn("rest", F.sum("words").over(whole) - F.col("ce"))
     )
     # words before a line, and up to it, grow strictly: a window is a range of either
     line = F.struct("pos", "lh", "lh2")
@@ -104,8 +104,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         text_col, F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     )
     if not report:
-        return cut.select(*[f"`{c}`" for c in docs.columns])
+        return cut.select(*quoted(docs.columns))
     gone = F.coalesce(F.aggregate(cuts, F.lit(0), lambda s, c: s + c["last_line"] - c["first_line"] + 1), F.lit(0)).cast("long")
     now = F.coalesce(F.regexp_count(text_col, F.lit("\n")) + 1, F.lit(0)).cast("long")
     every = F.when(F.col(lines).isNotNull(), F.size(lines).cast("long")).otherwise(now)
-    return cut.select(*[f"`{c}`" for c in docs.columns], every.alias("n_lines"), gone.alias("n_removed"))
+    return cut.select(*quoted(docs.columns), every.alias("n_lines"), gone.alias("n_removed"))

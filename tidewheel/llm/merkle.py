@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import quoted, settle
 from .ordering import numbered
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
@@ -138,7 +138,7 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, id_col: str = "d
     """
     kind = docs.schema[id_col].dataType.simpleString()
     changed = changed or {}
-    name = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    name = lambda c: F.col(*quoted([c]))
     group = name(group_col).cast("string")
     rows = docs.select(
         F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group)).alias("grp"),  # the null group first, others by their bytes

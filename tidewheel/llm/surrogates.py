@@ -37,7 +37,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_names, join_unique, row_count, settle
+from .common import free_names, join_unique, quoted, row_count, settle
 
 MAX_BROADCAST = 20_000
 MAX_ATTEMPTS = 64
@@ -319,7 +319,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     some = F.size(found) > 0
     text = F.element_at(F.transform(F.array(F.transform(found, one)), built), 1)
     out = keyed.withColumn(text_col, F.when(some, text).otherwise(F.col(text_col)))
-    columns = [f"`{c}`" for c in docs.columns]
+    columns = quoted(docs.columns)
     if report:
         return out.select(*columns, F.coalesce(F.greatest(F.size(found), F.lit(0)), F.lit(0)).cast("long").alias("n_replaced"))
     return out.select(*columns)
