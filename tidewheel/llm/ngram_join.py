@@ -7,9 +7,8 @@ chosen so that a pair at the threshold meets with probability RECALL at least.
 Band hashes are shuffled, and each bucket links its members to its smallest
 one, never all to all. Candidates then bring their full n-gram sets
 together and are verified exactly. A connected group of candidates that fits
-in one block is verified there, one of up to FEW blocks as pairs of blocks. A
-larger one is cut into blocks around its buckets, and two blocks meet only if
-members of both share a band: so a chain of chance matches costs its own
+in one block is verified there. A larger one is cut into blocks around its
+buckets, and two blocks meet only if members of both share a band: so a chain of chance matches costs its own
 length, not its square, while a true group of near copies meets block by block
 in any number of tasks. Pairs are counted where they are verified, never
 listed.
@@ -45,8 +44,6 @@ THRESHOLD = 0.8
 RECALL = 0.9995
 #: Documents, and n-grams, that a block of a candidate group may hold.
 BLOCK, BLOCK_GRAMS = 256, 1_500_000
-#: Blocks of a group that all meet one another; of more, only those that share a band.
-FEW = 16
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = 256) -> tuple[int, int]:
@@ -190,11 +187,9 @@ def verified(docs: DataFrame, nodes: DataFrame, shared: DataFrame, groups: DataF
     heavy, rest = split_heavy(members, settle(sums.select("root", "k", _parts().alias("parts"))), "root", row_count(members), "k")
     told = ["node", "n_copies", F.col("rep.id").alias("rep_id"), F.col("rep.th").alias("rep_th")]
     placed = settle(heavy.unionByName(rest).select(*told, "root", "parts", "n_grams"))
-    number = lambda i: F.xxhash64("root", i)
-    block = number(F.pmod(F.xxhash64("node"), F.col("parts")))
-    ends = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least("block", number(i.cast("bigint"))).alias("a"), F.greatest("block", number(i.cast("bigint"))).alias("b")))
-    rep = placed.where(F.col("parts") <= FEW).withColumn("block", block).withColumn("ends", ends).drop("parts", "n_grams", "root")
-    large = settle(placed.where(F.col("parts") > FEW))
+    block = F.xxhash64("root")
+    rep = placed.where("parts = 1").withColumn("block", block).withColumn("ends", F.array(F.struct(block.alias("a"), block.alias("b")))).drop("parts", "n_grams", "root")
+    large = settle(placed.where("parts > 1"))
     if row_count(large):
         rep = rep.unionByName(large.drop("n_grams", "root", "parts").join(_meetings(large.select("node", "n_grams", "root", "parts"), shared), "node"))
     # the one shuffle of texts: each node's first document finds its text
