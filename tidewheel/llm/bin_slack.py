@@ -26,11 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
+from .words import hand_back
 
 CAPACITY = 2048
 END_ID = 0
@@ -40,6 +42,9 @@ MEMO_SIZE = 200_000
 #: Words that are looked up at a time, and encoded in one string.
 AT_ONCE, IN_ONE = 300_000, 1000
 
+#: Bytes of texts that are encoded together.
+AT_A_TIME = 1 << 22
+
 _BREAK = np.arange(256, dtype="u1")
 _BREAK[[9, 10, 13]] = 32
 _LOWER = _BREAK.copy()
@@ -141,6 +146,16 @@ class WordTokenizer:
         return self.encode_all(pa.array([text]))[0].tobytes()
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows of AT_A_TIME bytes of text together, one at least: what is worked out for each byte is held for these only."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + AT_A_TIME, "right")))
+        yield lo, hi
+        lo = hi
+
+
 @functools.lru_cache(2)
 def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
@@ -151,8 +166,9 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hand_back()
         own, end = tokenizer(path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in (whole.slice(lo, hi - lo) for whole in batches for lo, hi in _slices(whole.column(1))):
             rows, piece, start, length, crc = [], [], [], [], []
             ids, begin = own.encode_all(batch.column(1))
             for row in range(batch.num_rows):
@@ -168,6 +184,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        hand_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 

@@ -10,6 +10,8 @@ BLOCK bytes, so that what a long text needs beside its words is bounded.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,6 +111,13 @@ def shingles(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np
     return mix(out[inside]), doc[:n][inside]
 
 
+def hand_back() -> None:
+    """Give memory that this worker has freed back to the system: a worker outlives its tasks, and libraries keep what they freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # there is no such call outside of glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_groups(column: pa.Array) -> Iterator[tuple[int, Texts]]:
     """The texts of an Arrow column, nulls as empty ones, in groups; with the row each group begins at."""
     column = column.cast(pa.large_binary()).fill_null(b"")
