@@ -38,7 +38,7 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 #: Words a worker keeps the ids of, twice: those met lately, and those met before. Its memory bound.
-MEMO_SIZE = 200_000
+MEMO_SIZE = 80_000
 #: Words that are looked up at a time, and encoded in one string.
 AT_ONCE, IN_ONE = 300_000, 1000
 
@@ -184,7 +184,7 @@ def cut_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
-        hand_back()
+            hand_back()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(work, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
