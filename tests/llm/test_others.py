@@ -336,3 +336,14 @@ def test_keys_of_letters_and_addresses_in_any_script(spark):
     for i, gone in ((2, ("josé", "müller", "é")), (3, ("иван", "почта")), (4, ("user7",)), (5, ("user8",))):
         assert "@" in got[i] and not any(x in got[i] for x in gone), got[i]
     assert got[2].startswith("an ") and got[2].endswith(".de geschrieben") and got[4].startswith("请联系我的邮箱") and got[4].endswith(".com谢谢") and got[5].startswith("é" * 80)
+
+
+def test_whole_names_go_after_titles(spark):
+    """Titles one after another, initials, particles, wide blanks, and the last name in capitals later on."""
+    texts = ["Mr. Lee Mrs. O'Neil met.", "Prof. J. R. Tolkien wrote", "Mr  John  Smith and SMITH, Smith", "Frau von der Leyen sprach", "Dr. J.R.R. Martin van Houten here", "Mme de la Tour, Mr Vance", "Mr. Stone. The end"]
+    gone = ["Lee", "O'Neil", "J. R.", "Tolkien", "John", "Smith", "SMITH", "Leyen", "der", "J.R.R.", "Martin", "Houten", "Tour", "Vance", "Stone"]
+    out = [r.text for r in surrogates.replace_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert not [g for g in gone for t in out if re.search(rf"(?<!\w){re.escape(g)}(?!\w)", t)]
+    assert out[0].startswith("Mr. ") and " Mrs. " in out[0] and out[0].endswith(" met.") and out[1].endswith(" wrote") and out[3].startswith("Frau ") and out[6].endswith(". The end")
+    capitals, plain = re.fullmatch(r"Mr  \S+ (?:\S+) and (\S+), (\S+)", out[2]).groups()
+    assert capitals == plain.upper() and plain in out[2].split(" and ")[0]

@@ -94,8 +94,11 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession) -> str:
-    """The secret of surrogates: the session's spark.tidewheel.surrogateKey; without one, a word that anyone can read here."""
-    return spark.conf.get("spark.tidewheel.surrogateKey", None) or "not-a-secret"
+    """The secret of surrogates: the session's spark.tidewheel.surrogateKey; only a local master may do without, with a word that anyone can read here."""
+    key = spark.conf.get("spark.tidewheel.surrogateKey", None)
+    if not key and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.tidewheel.surrogateKey must be set")
+    return key or "not-a-secret"
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

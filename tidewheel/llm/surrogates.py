@@ -48,7 +48,13 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Señorita", "Sra", "Madame",
 NEUTRAL = ["Dr", "Prof"]
 
 _TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + NEUTRAL, key=len, reverse=True)) + r")\.?"
-_NAME = r"\p{Lu}[\p{L}'’]{1,30}"
+_BLANK = r"[ \t\u00A0]{1,4}"
+# Particles of names.
+_PARTICLE = "(?:von|van|vom|de|der|den|del|della|di|da|dos|du|la|le|ten|ter|zu|zum|zur|af|av|bin|ibn|al|el)"
+_WORD_OF_NAME = r"\p{Lu}[\p{L}'’]{1,30}"
+# A name, initials with their points among them; the next person's title is none.
+_NAME = rf"(?!{_TITLE}(?!\p{{L}}))(?:{_WORD_OF_NAME}|\p{{Lu}}\.(?:\p{{Lu}}\.){{0,3}})"
+_NAMES = rf"(?:{_PARTICLE}{_BLANK}){{0,3}}{_NAME}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LABEL = r"""(?i:password|passwd|pwd|secret|token|api_key|apikey)["']?[ \t]{0,3}[=:][ \t]{0,3}["']?"""
 # Letters of scripts that put spaces between words; where none are, a local part of other letters has no beginning.
@@ -65,11 +71,11 @@ PATTERNS = {
     "ssn": r"\d(?<![\w\-].)\d{2}-\d{2}-\d{4}(?![\w\-])",
     "card": r"\d(?<![\w\-].)(?:[ \-]?\d){12,18}(?![\w\-])",
     "phone": r"(?=[0-9+(])(?<![\w+])(?:(?:\+\d{1,3}[ .\-]?|\d{1,3}[ .\-])?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-])|\+(?=(?:[ .()\-]{0,2}\d){8,15}(?![\w]))\d[\d .()\-]{6,18}\d|0\d(?:[ .]\d{2}){4}(?![\w\-]))",
-    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}\d]){_TITLE} {_NAME}(?:[ \-]{_NAME}){{0,2}}",
+    "person": rf"(?=\p{{Lu}})(?<![\p{{L}}\d]){_TITLE}{_BLANK}{_NAMES}(?:(?:{_BLANK}|-){_NAMES}){{0,3}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Every finding holds one of these; texts without them are passed over by a single quick scan.
-MAYBE = rf"[0-9@]|A(?:KIA|SIA)[A-Z]|[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"' \t]{{0,4}}.)|(?=\p{{Lu}}){_TITLE} \p{{Lu}}"
+MAYBE = rf"[0-9@]|A(?:KIA|SIA)[A-Z]|[=:](?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[\"' \t]{{0,4}}.)|(?=\p{{Lu}}){_TITLE}{_BLANK}(?:\p{{Lu}}|{_PARTICLE}{_BLANK})"
 
 # Syllables of made-up names, and their endings by gender, for each script.
 _SYLLABLES = {
@@ -90,7 +96,7 @@ def _kind(found: Column) -> Column:
     return out.otherwise("secret")
 
 
-_TITLE_FIRST = rf"\A({_TITLE}) "
+_TITLE_FIRST = rf"\A({_TITLE}){_BLANK}"
 
 
 def _normal(kind: Column, found: Column) -> Column:
@@ -101,7 +107,7 @@ def _normal(kind: Column, found: Column) -> Column:
         .when(kind == "phone", F.regexp_extract(F.regexp_replace(found, r"\D", ""), r"(\d{1,10})\z", 1))  # without the country's code
         .when(kind == "iban", F.replace(found, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(found, rf"\A{_LABEL}", ""))
-        .when(kind == "person", F.regexp_replace(found, _TITLE_FIRST, ""))
+        .when(kind == "person", F.regexp_replace(F.regexp_replace(found, _TITLE_FIRST, ""), _BLANK, " "))
         .otherwise(found)
     )
 
@@ -300,7 +306,8 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     between = F.split(text_col, ANY, -1)
     # last names without their titles, in what stands between the findings
-    last = lambda c: F.regexp_extract(c, rf"({_NAME})\z", 1)
+    last = lambda c: F.regexp_extract(c, rf"({_WORD_OF_NAME})\z", 1)
+    spelt = lambda n: F.array(F.struct(last(n["name"]).alias("old"), last(n["new"]).alias("new")), F.struct(F.upper(last(n["name"])).alias("old"), F.upper(last(n["new"])).alias("new")))
 
     def bare(part: Column, pairs: Column) -> Column:
         here = lambda old: F.concat(F.lit(r"(?<![\p{L}\p{M}\d'’@._\-])"), old, F.lit(r"(?![\p{L}\p{M}\d@])"))
@@ -308,7 +315,7 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     def built(made: Column) -> Column:
         new = F.concat(F.transform(made, lambda n: n["new"]), F.array(F.lit("")))
-        named = F.array_distinct(F.transform(F.filter(made, lambda n: n["name"].isNotNull()), lambda n: F.struct(last(n["name"]).alias("old"), last(n["new"]).alias("new"))))
+        named = F.array_distinct(F.flatten(F.transform(F.filter(made, lambda n: n["name"].isNotNull() & (last(n["name"]) != "")), spelt)))
 
         def laid(pairs: Column) -> Column:
             parts = F.when(F.size(pairs) > 0, F.transform(between, lambda part: bare(part, pairs))).otherwise(between)
