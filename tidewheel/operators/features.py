@@ -108,11 +108,11 @@ def exogenous_profile(panel: DataFrame, columns: list[str], steps: list[int] = (
 
 def impute(panel: DataFrame, col: str, keys: list[str] = ("unique_id",), back: bool = False, time: str = "ds") -> Column:
     """Carried forward, then (if asked; it sees the future) backward, then the median of the series."""
-    from .windows import backward_fill
+    from .windows import backward_fill, newest_first
 
     w = over_time(list(keys), time)
     x = F.col(col)
-    parts = [forward_fill(x, w)] + ([backward_fill(x, w)] if back else [])
+    parts = [forward_fill(x, w)] + ([backward_fill(x, w, newest_first(list(keys), time))] if back else [])
     return F.coalesce(*parts, F.median(x).over(Window.partitionBy(*keys)))
 
 

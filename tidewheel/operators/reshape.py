@@ -60,6 +60,30 @@ def as_of(left: DataFrame, right: DataFrame, time: str, keys: list[str], value_c
     return met.select(*left.columns, *[F.coalesce(c, f"_e_{c}").alias(c) for c in value_cols])
 
 
+def known_at(left: DataFrame, facts: DataFrame, keys: list[str], time: str, valid: str = "valid", known: str = "known", value: str = "value") -> DataFrame:
+    """left with what was known of each key at time: valid, known and value of the newest period told of by then, as last told.
+
+    facts has two times: the period that a value is of, and when it was told; a
+    period may be told of again. The greatest (valid, known) of the facts up to
+    a moment is a running maximum, taken inside days and from day to day by the
+    days' own maxima, so that a key is as many tasks as it has days. Nulls: a
+    fact without a period or a time of telling is left out, a value may be
+    null; a null key is a key; left rows without a fact by then get nulls.
+    """
+    told = facts.where(F.col(valid).isNotNull() & F.col(known).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.to_date(known).alias("_day"), F.col(known).cast("timestamp").alias("_at"), F.struct(F.col(valid).alias("v"), F.col(known).alias("k"), F.col(value).alias("x")).alias("_fact"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    asked = left.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.to_date(time).alias("_day"), F.col(time).cast("timestamp").alias("_at"), F.struct(*left.columns).alias("_row"))
+    both = told.unionByName(asked, allowMissingColumns=True)
+    inside = Window.partitionBy(*names, "_day").orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    rows = both.withColumn("_own", F.max("_fact").over(inside)).where("_row is not null")
+    days = both.groupBy(*names, "_day").agg(F.max("_fact").alias("_best"))
+    before = Window.partitionBy(*names).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_old", F.max("_best").over(before)).select(*[F.col(n).alias(f"d{n}") for n in names], F.col("_day").alias("d_day"), "_old")
+    same = reduce(Column.__and__, [F.col(n).eqNullSafe(F.col(f"d{n}")) for n in [*names, "_day"]])
+    met = rows.join(days, same, "left").withColumn("_fact", F.greatest("_own", "_old"))
+    return met.select("_row.*", F.col("_fact.v").alias(valid), F.col("_fact.k").alias(known), F.col("_fact.x").alias(value))
+
+
 def month_dummies(ds: Column) -> dict[str, Column]:
     return {f"month_{k}": (F.month(ds) == k).cast("int") for k in range(1, 13)}
 

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_div
 
 
+def newest_first(keys: str | list[str] = "unique_id", time: str = "ds") -> WindowSpec:
+    return Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(F.desc(time))
+
+
 def over_time(keys: str | list[str] = "unique_id", time: str = "ds") -> WindowSpec:
     return Window.partitionBy(*([keys] if isinstance(keys, str) else keys)).orderBy(time)
 
@@ -69,17 +73,23 @@ def forward_fill(x: Column, w: WindowSpec) -> Column:
     return F.last(x, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
-def backward_fill(x: Column, w: WindowSpec) -> Column:
-    """Values of the future: not for model inputs."""
+def backward_fill(x: Column, w: WindowSpec, newest_first: WindowSpec | None = None) -> Column:
+    """Values of the future: not for model inputs.
+
+    newest_first: the same window in descending order, along which the value is
+    carried forward in one pass; without it each row looks through the rest of
+    its series.
+    """
+    if newest_first is not None:
+        return forward_fill(x, newest_first)
     return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 
-def interpolate(x: Column, w: WindowSpec, time: Column) -> Column:
-    """Straight line by days between the values before and after a gap."""
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+def interpolate(x: Column, w: WindowSpec, time: Column, newest_first: WindowSpec | None = None) -> Column:
+    """Straight line by days between the values before and after a gap. newest_first: as with backward_fill."""
     held = F.when(x.isNotNull(), time)
-    a, b = F.last(x, True).over(past), F.first(x, True).over(future)
-    t, u = F.last(held, True).over(past), F.first(held, True).over(future)
+    a, b = forward_fill(x, w), backward_fill(x, w, newest_first)
+    t, u = forward_fill(held, w), backward_fill(held, w, newest_first)
     return F.coalesce(x, a + (b - a) * safe_div(F.datediff(time, t).cast("double"), F.datediff(u, t).cast("double")))
 
 

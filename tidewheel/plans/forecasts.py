@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import forecast as G
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import trees as T
 from ..sources import series as src
 from .base import SALES, query, r
 
@@ -176,7 +177,7 @@ def seasonal_path(spark, d):
     return G.seasonal_path(p, p.groupBy("unique_id").agg(F.avg("y").alias("base"))).withColumn("yhat", F.round("yhat", 3))
 
 
-# fitted models: rows only; the tests hold ar and ets against plain code, trees against last year's months
+# fitted models: rows only; tests/test_trees.py and tests/test_searched.py hold trees and searched models against plain code
 @query("ets_forecast")
 def ets_forecast(spark, d):
     return L.forecast_models(_panel(spark, d), 12, {"ets": L.ets})
@@ -199,7 +200,7 @@ def rf_forecast(spark, d):
 
 @query("gbt_forecast")
 def gbt_forecast(spark, d):
-    return L.fit_trees(_panel(spark, d), L.boosting())[1]
+    return T.holdout(_panel(spark, d))
 
 
 @query("feature_importance")

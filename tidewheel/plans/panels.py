@@ -222,7 +222,7 @@ def ffill_gaps(spark, d):
 def _filled(g):
     w = V.over_time("k")
     full = src.complete_months(g, ["k"])
-    return full.select("k", "ds", V.forward_fill(F.col("y"), w).alias("forward"), V.backward_fill(F.col("y"), w).alias("backward"), F.coalesce("y", F.median("y").over(Window.partitionBy("k"))).alias("imputed"))
+    return full.select("k", "ds", V.forward_fill(F.col("y"), w).alias("forward"), V.backward_fill(F.col("y"), w, V.newest_first("k")).alias("backward"), F.coalesce("y", F.median("y").over(Window.partitionBy("k"))).alias("imputed"))
 
 
 # the _all queries: every order by customer, a key that is sparse by itself; no SQL, compared with plain code in the tests
@@ -329,7 +329,7 @@ def linear_interpolation_all(spark, d):
 
 
 def _interpolated(panel):
-    return src.complete_months(panel, ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(F.col("y"), V.over_time(), F.col("ds")), 4).alias("y"))
+    return src.complete_months(panel, ["unique_id"]).select("unique_id", "ds", F.round(V.interpolate(F.col("y"), V.over_time(), F.col("ds"), V.newest_first()), 4).alias("y"))
 
 
 @query("duplicate_days", "SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 1")
