@@ -9,7 +9,9 @@ series' own.
 
 Smoothing weights and the first level and slope are searched by a downhill
 simplex over the Gaussian likelihood; the first season is that of a
-decomposition of the first years. All of these count as parameters.
+decomposition of the first years. All of these count as parameters. A season
+that grows while the level does not is none of the forms; models.ets followed
+one such made-up series better (MASE 2.9 over a year, against 6.6 here).
 
 Edge cases. Null values are left out. A series of fewer than two seasons and
 six values, or of one value throughout, has a status and null forecasts;
@@ -60,7 +62,7 @@ def beginnings(y: np.ndarray, form: tuple[str, str, str]) -> tuple[float, float,
 
 def weights(x: np.ndarray, form: tuple[str, str, str]) -> tuple[np.ndarray, ...]:
     """alpha, beta, gamma, phi of points x (logits), then the first level's and slope's moves."""
-    sig = lambda v: 1 / (1 + np.exp(-v))
+    sig = lambda v: 0.5 + 0.5 * np.tanh(v / 2)
     columns, zero = iter(x.T), np.zeros(len(x))
     alpha = 0.0001 + 0.9998 * sig(next(columns))
     beta = alpha * sig(next(columns)) if form[1] != "N" else zero
