@@ -130,3 +130,19 @@ def test_fills_of_long_series_take_one_pass(spark):
     long = spark.range(200_000).select(F.lit("z").alias("unique_id"), F.col("id").alias("ds"), F.when(F.col("id") % 1000 == 999, F.col("id").cast("double")).alias("y"))
     assert long.select(V.backward_fill(x, w, V.newest_first()).alias("b")).agg(F.count("b")).first()[0] == 200_000
     assert isinstance(df.schema["y"].dataType, Ty.DoubleType)
+
+
+def test_one_changed_value_names_its_bucket(spark):
+    from tidewheel.operators import versions as Z
+
+    rows = [(i, f"k{i % 90}", None if i % 7 == 0 else i * 1.5) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k string, v double")
+    tree = Z.version_tree(df, ["id"])
+    assert tree.count() == 512 + 64 + 8 + 1 and tree.where("level = 0").first().n == 2000
+    assert Z.changed_buckets(tree, Z.version_tree(df.orderBy(F.desc("v")).repartition(7).select("v", "k", "id"), ["id"])).count() == 0
+    other = Z.version_tree(df.withColumn("v", F.when(F.col("id") == 777, 1.0).otherwise(F.col("v"))), ["id"])
+    want = df.where("id = 777").select(Z.bucket_of(["id"]).alias("b")).first().b
+    assert [r.node for r in Z.changed_buckets(tree, other).collect()] == [want]
+    for more in (df.union(df.where("id = 5")).union(df.where("id = 5")), df.where("id <> 7"), df.withColumn("v", F.when(F.col("id") != 7, F.col("v")).otherwise(0.0))):
+        assert Z.changed_buckets(tree, Z.version_tree(more, ["id"])).count() == 1  # twice more, gone, null to 0
+    assert Z.changed_buckets(tree, Z.version_tree(df.limit(0), ["id"])).count() > 400

@@ -10,6 +10,7 @@ from ..operators import reshape as H
 from ..operators import select as C
 from ..operators import trees as T
 from ..operators import unitroot as U
+from ..operators import versions as Z
 from ..sources import series as src
 from .base import MACRO, SALES, query, r
 
@@ -110,3 +111,9 @@ def recursive_forecast(spark, d):
 def forest_out_of_bag(spark, d):
     """Every month by the trees that did not see it."""
     return T.forest(*L.feature_matrix(src.sales_panel(spark, d)))[1].withColumnRenamed("label", "y")
+
+
+@query("version_tree")
+def version_tree(spark, d):
+    """Hashes of all orders by bucket and the tree over them; the tests change single values and find their buckets."""
+    return Z.version_tree(src.table(spark, d, "orders"), ["o_orderkey"])
