@@ -279,6 +279,15 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert len(set(new)) == 24 and not set(new) & {f"10.0.0.{i}" for i in range(12)}
 
 
+def test_what_cannot_be_redrawn_gets_longer(spark):
+    mails = [f"{a}@b.c" for a in "abcdefghijklmnopqrstuvwxyz"] + ["-@-.-", "_@-.-"]
+    rows = [(0, "password: -------- ok"), (1, "token = ________ ok"), (2, "secret=======--- ok"), *((3 + i, f"to {m} ok") for i, m in enumerate(mails))]
+    got = {r.doc_id: r.text for r in surrogates.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    assert len(got) == len(rows) == len({*got.values(), *(t for _, t in rows)}) / 2
+    assert got[0].startswith("password: --------") and all(t.endswith(" ok") for t in got.values())
+    assert all(re.fullmatch(r"to \S+@\S+\.\S+ ok", got[3 + i]) for i in range(len(mails)))
+
+
 def test_odd_rows_pass_surrogates(odd):
     got = surrogates.replace_pii(odd, "k")
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
