@@ -288,6 +288,14 @@ def test_what_cannot_be_redrawn_gets_longer(spark):
     assert all(re.fullmatch(r"to \S+@\S+\.\S+ ok", got[3 + i]) for i in range(len(mails)))
 
 
+def test_the_pipeline_passes_what_cannot_be_redrawn(spark):
+    import corpus_pipeline as c
+
+    rows = [(1, "password: -------- ok", "en", "a", 21), (2, "x -@-.- ok", "en", "a", 10)]
+    got = dict(c.STAGES)["PII"](spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted(r.doc_id for r in got) == [1, 2] and all(r.text != rows[r.doc_id - 1][1] and r.n_chars == len(r.text) for r in got)
+
+
 def test_odd_rows_pass_surrogates(odd):
     got = surrogates.replace_pii(odd, "k")
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))
