@@ -124,6 +124,20 @@ def test_word_ids_are_the_librarys():
     assert want[4004 + 2] == [343, 49407, 320]
 
 
+def test_marks_are_not_learnt_with_each_word():
+    """A mark after a letter is a word of its own, whatever mark; contractions, accents, digits and special tokens stay whole."""
+    own, lib = bin_slack.WordTokenizer(WORDS), tokenizers.Tokenizer.from_file(WORDS)
+    texts = [f"word{m}{n} it's{m} {m}x{n}y don't{m}'ve O\u0301{m} a\u0301{m}\u0301 é{m}1a{m}É ÉCOLE{m}" for m in map(chr, range(33, 127)) for n in ("", "#", "'ll", "\u0338", "7")]
+    special = [f"{t} b<|endoftext|>{t}" for t in texts]
+    for some in (texts, special):
+        ids, begin = own.encode_all(pa.array(some))
+        for k, text in enumerate(some):
+            assert ids[begin[k] : begin[k + 1]].tolist() == lib.encode(text, add_special_tokens=False).ids, repr(text)
+    own = bin_slack.WordTokenizer(WORDS)
+    own.encode("".join(f"word{m * n} " for m in "#*$%&!?;:-" for n in (1, 2, 3)))
+    assert len(own.memo) == 31  # 31 words, not 30 spellings of one
+
+
 def test_a_full_memo_and_small_blocks_change_nothing(docs, monkeypatch):
     monkeypatch.setattr(bin_slack, "MEMO_SIZE", 50)
     monkeypatch.setattr(bin_slack, "AT_ONCE", 7)

@@ -40,7 +40,7 @@ SALTS = 64
 #: Words a worker keeps the ids of, twice: those met lately, and those met before. Its memory bound.
 MEMO_SIZE = 80_000
 #: Words that are looked up at a time, and encoded in one string.
-AT_ONCE, IN_ONE = 300_000, 1000
+AT_ONCE, IN_ONE = 300_000, 100
 
 #: Bytes of texts that are encoded together.
 AT_A_TIME = 1 << 22
@@ -49,9 +49,10 @@ _BREAK = np.arange(256, dtype="u1")
 _BREAK[[9, 10, 13]] = 32
 _LOWER = _BREAK.copy()
 _LOWER[65:91] += 32
-_LETTER, _STOP = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER, _STOP, _MARK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[97:123] = True
 _STOP[list(b",.")] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
 def _bare(words: pa.LargeBinaryArray) -> list[bytes]:
@@ -68,9 +69,11 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # for letters between single spaces: the tokenizer's pattern for white space, slow, would find nothing to change there
+        self.whole, self.spaceless = self.tokenizer.normalizer, normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
         vocabulary = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -78,11 +81,12 @@ class WordTokenizer:
         self.older: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        words = [w.decode() for w in new]
-        plain = [w for w in words if w.isalpha()]  # one piece each, whose last id alone ends a word
-        rest = [w for w in words if not w.isalpha()]
+        plain, rest = [], []
+        for w in new:  # letters are one piece, whose last id alone ends a word
+            (plain if w.isalpha() or (not w.isascii() and w.decode().isalpha()) else rest).append(w)
+        self.tokenizer.normalizer = self.spaceless
         joined = [plain[i : i + IN_ONE] for i in range(0, len(plain), IN_ONE)]
-        for some, got in zip(joined, self.tokenizer.encode_batch_fast([" ".join(x) for x in joined], add_special_tokens=False), strict=True):
+        for some, got in zip(joined, self.tokenizer.encode_batch_fast([b" ".join(x).decode() for x in joined], add_special_tokens=False), strict=True):
             packed = np.array(got.ids, "<u4")
             ends = np.flatnonzero(self.ends_word[packed]) + 1
             if len(ends) != len(some):
@@ -90,10 +94,11 @@ class WordTokenizer:
                 continue
             data, at = packed.tobytes(), 0
             for word, end in zip(some, (ends * 4).tolist(), strict=True):
-                self.memo[word.encode()] = data[at:end]
+                self.memo[word] = data[at:end]
                 at = end
-        for word, got in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.memo[word.encode()] = np.array(got.ids, "<u4").tobytes()
+        self.tokenizer.normalizer = self.whole
+        for word, got in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False), strict=True):
+            self.memo[word] = np.array(got.ids, "<u4").tobytes()
 
     def _ids(self, words: list[bytes]) -> list[bytes]:
         if len(self.memo) > MEMO_SIZE:
@@ -120,7 +125,7 @@ class WordTokenizer:
         first[1:] &= ~filled[:-1]
         inner = offsets[:-1][offsets[:-1] < len(raw)]
         first[inner] |= filled[inner]  # a text begins a word
-        first[1:] |= _LETTER[raw[:-1]] & _STOP[raw[1:]]  # and so, by the tokenizer's pattern, does a mark after a letter
+        first[1:] |= _LETTER[raw[:-1]] & (_STOP if special else _MARK)[raw[1:]]  # and so, by the tokenizer's pattern, does a mark after a letter
         starts = np.flatnonzero(first)
         del filled, first
         ids, counts = [np.zeros(0, "<u4")], [np.zeros(0, "i8")]
