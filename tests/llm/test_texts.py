@@ -11,6 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 from tidewheel.llm import components as components_
 from tidewheel.llm import common, line_dedup, ngram_join, perplexity, surrogates, words
@@ -361,6 +362,24 @@ def test_small_groups_of_copies_count_whatever_the_size(spark):
         assert len(scored) == len(texts) and all(abs(scored[i] - x) < 1e-5 for i, x in enumerate(want))
 
 
+def test_bounds_by_row_count_change_no_result(spark, monkeypatch):
+    """All that hangs on row_count() picks a join or a number of slices: scores are equal to the last bit, and so are rows."""
+    rng = np.random.default_rng(5)
+    texts = [*prose(rng, 30, 200), *["same words"] * 3, None]
+    plain = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "id long, lang string, text string")
+    counts = common.settle(perplexity.count_grams(plain))
+    cuts = {r["lang"]: [0.0, *r["cuts"]] for r in perplexity._discounts(counts).collect()}
+    table, told = common.settle(perplexity.hashed(perplexity.kneser_ney(counts))), common.settle(perplexity.measured(plain))
+    found = [{r.id: r.log_ppl for r in perplexity.score(plain, told, table, cuts, size).collect()} for size in (1 << 22, table.settled_rows // 3)]
+    assert found[0] == found[1] and len(found[0]) == len(texts)
+    gone = plain.where("id % 3 = 0").select("id", "text")
+    kept = []
+    for most in (common.MAX_KEYS, 0):
+        monkeypatch.setattr(common, "MAX_KEYS", most)
+        kept.append(sorted(r.id for r in common.drop_rows(plain, gone, [F.col("id"), F.col("text")]).collect()))
+    assert kept[0] == kept[1] == [i for i in range(len(texts)) if i % 3]
+
+
 def test_blocks_of_a_long_text_change_nothing(monkeypatch):
     rng = np.random.default_rng(5)
     texts = pa.array([" ".join("x" * int(k) for k in rng.integers(1, 40, 300)), "é" * 500 + " b\n\nc", "", "a b c d e f"])
