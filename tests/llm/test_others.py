@@ -296,6 +296,31 @@ def test_the_pipeline_passes_what_cannot_be_redrawn(spark):
     assert sorted(r.doc_id for r in got) == [1, 2] and all(r.text != rows[r.doc_id - 1][1] and r.n_chars == len(r.text) for r in got)
 
 
+def test_a_cluster_without_a_key_draws_one(spark, monkeypatch):
+    import corpus_pipeline as c
+    from tidewheel.llm.queries import surrogate_key
+
+    text = "to jane.doe@mail.example and Dr Smith ok"
+    rows = [(i, text, "en", "a", len(text)) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = lambda: {r.doc_id: r.text for r in dict(c.STAGES)["PII"](spark, df, "").collect()}
+    local = stage()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.warns(UserWarning, match="surrogateKey"):
+        got = stage()
+    assert got == stage() and got[1] == got[2] and len({text, local[1], got[1]}) == 3 and got[1].endswith(" ok")
+    drawn = surrogate_key(spark)
+    assert len(drawn) == 64 and drawn != "not-a-secret"
+    monkeypatch.setattr(type(spark.sparkContext), "applicationId", "another")
+    with pytest.warns(UserWarning, match="surrogateKey"):
+        assert surrogate_key(spark) != drawn
+    spark.conf.set("spark.tidewheel.surrogateKey", "told")
+    try:
+        assert surrogate_key(spark) == "told"
+    finally:
+        spark.conf.unset("spark.tidewheel.surrogateKey")
+
+
 def test_odd_rows_pass_surrogates(odd):
     got = surrogates.replace_pii(odd, "k")
     assert got.columns == odd.columns and sorted(map(str, got.collect())) == sorted(map(str, odd.collect()))

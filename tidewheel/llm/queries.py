@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import secrets
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -93,12 +96,24 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(read_table(spark, sf_dir, "documents")).drop("th", "worded")
 
 
+@functools.lru_cache
+def _drawn_key(application: str) -> str:
+    """A random key for one Spark application."""
+    warnings.warn("spark.tidewheel.surrogateKey is not set: a random key holds for this application, its surrogates cannot be made again", stacklevel=3)
+    return secrets.token_hex(32)
+
+
 def surrogate_key(spark: SparkSession) -> str:
-    """The secret of surrogates: the session's spark.tidewheel.surrogateKey; only a local master may do without, with a word that anyone can read here."""
+    """The secret of surrogates: the session's spark.tidewheel.surrogateKey.
+
+    Without it a local master takes a word that anyone can read here, so that
+    trials can be repeated. A cluster draws a key that nobody knows and keeps it
+    for the application: its queries agree, those of another do not.
+    """
     key = spark.conf.get("spark.tidewheel.surrogateKey", None)
-    if not key and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.tidewheel.surrogateKey must be set")
-    return key or "not-a-secret"
+    if key:
+        return key
+    return "not-a-secret" if spark.sparkContext.master.startswith("local") else _drawn_key(spark.sparkContext.applicationId)
 
 
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
